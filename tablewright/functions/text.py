@@ -78,10 +78,14 @@ def qgram_jaccard(a, b, q, lower_case=True, alphanum_only=True):
 def title_case(col):
     """A capital after anything that is not a letter."""
     runs = F.regexp_extract_all(_col(col), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    cased = F.transform(
-        runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))
-    )
-    return F.array_join(cased, "")
+
+    def cased(run):
+        # an upper-case form may be longer than one character
+        head = F.upper(F.substring(run, 1, 1))
+        tail = F.concat(F.substr(head, F.lit(2)), F.substr(run, F.lit(2)))
+        return F.concat(F.substring(head, 1, 1), F.lower(tail))
+
+    return F.array_join(F.transform(runs, cased), "")
 
 
 def squeeze(col):

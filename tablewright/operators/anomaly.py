@@ -31,11 +31,19 @@ def rare_group_score(df, group, threshold=None, out="score"):
     return df.join(scores, group)
 
 
-def clusters(df, features, k, seed=7, out="cluster", **params):
-    """KMeans cluster of an array column."""
+def clusters(df, features, k, seed=7, out="cluster", restarts=10, **params):
+    """KMeans cluster of an array column; the cheapest of some restarts."""
     vec = df.withColumn("_vec", array_to_vector(F.col(features).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="_vec", predictionCol=out, **params).fit(vec)
-    return model.transform(vec).drop("_vec")
+    data = vec.select("_vec").persist()
+    try:
+        fits = [
+            KMeans(k=k, seed=seed + i, featuresCol="_vec", predictionCol=out, **params).fit(data)
+            for i in range(restarts)
+        ]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+    finally:
+        data.unpersist()
+    return best.transform(vec).drop("_vec")
 
 
 def detect(df, features, k, threshold, seed=7, **params):

@@ -1,6 +1,6 @@
 """Projections, filters, aggregates, order and sets on one table."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tablewright.plans.ordering import exact_quantiles, numbered
@@ -179,12 +179,12 @@ def crosstab(df, rows, cols):
 
 def crosstab_wide(df, rows, cols, levels=None):
     """Crosstab with one column per value and an ``All`` row and column."""
-    base = df.dropna(subset=[rows, cols])
-    wide = base.withColumn(cols, F.col(cols).cast("string"))
-    wide = wide.cube(rows).pivot(cols, levels).agg(F.count(F.lit(1))).fillna(0)
+    base = df.dropna(subset=[rows, cols]).select(F.col(rows).cast("string"), F.col(cols).cast("string"))
+    wide = base.groupBy(rows).pivot(cols, levels).agg(F.count(F.lit(1))).fillna(0)
     names = [c for c in wide.columns if c != rows]
+    margin = wide.agg(*[F.sum(f"`{c}`").alias(c) for c in names]).select(F.lit("All").alias(rows), "*")
     total = sum((F.col(f"`{c}`") for c in names[1:]), F.col(f"`{names[0]}`"))
-    return wide.withColumn(rows, F.coalesce(F.col(rows).cast("string"), F.lit("All"))).withColumn("All", total)
+    return wide.unionByName(margin).withColumn("All", total)
 
 
 def histogram(df, value, bins=10):

@@ -7,6 +7,7 @@ range, and the totals of the ranges, at most ``ranges`` rows, carry over.
 
 from pyspark.sql import Column, Window as W, functions as F
 
+from tablewright.plans.lineage import cut
 from tablewright.plans.skew import null_safe
 
 
@@ -167,7 +168,7 @@ def nearest_on_line(left, right, score, payload):
     ).select(score, F.struct(F.col(score).alias("_s"), "_hit.*").alias("_hit"))
     asked = left.select(score).where(F.col(score).isNotNull()).distinct().withColumn("_ask", F.lit(True))
     line = best.where(F.col(score).isNotNull()).join(asked, score, "full")
-    line = with_range(line, score)
+    line = with_range(cut(line), score)
     ends = line.groupBy("_range").agg(
         F.max_by("_hit", F.when(F.col("_hit").isNotNull(), F.col(score))).alias("_top"),
         F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col(score))).alias("_bottom"),
