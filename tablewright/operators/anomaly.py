@@ -51,7 +51,22 @@ def detect(df, features, k, threshold, seed=7, **params):
     return rare_group_score(clusters(df, features, k, seed, **params), "cluster", threshold).drop("cluster")
 
 
-def anomaly_pipeline(df, features, pos, categorical=(0, 1), numeric=range(12, 48), k=8, threshold=0.97, seed=7):
+def anomaly_pipeline(df, features, pos, categorical=(0, 1), numeric=range(12, 48), k=8, threshold=0.97, seed=7, **params):
     """One-hot, standardise, cluster, score."""
     coded = one_hot(df, features, list(categorical), pos)
-    return detect(standardize(coded, features, list(numeric)), features, k, threshold, seed)
+    return detect(standardize(coded, features, list(numeric)), features, k, threshold, seed, **params)
+
+
+def detect_coded(df, features, pos, categorical, numeric_from, k, threshold, seed=7, **params):
+    """As ``anomaly_pipeline``, standardising all positions that are not one-hot.
+
+    ``numeric_from`` is the first numeric position before encoding; the width
+    of the encoded part is read from one row.
+    """
+    coded = one_hot(df, features, list(categorical), pos)
+    before, after = df.select(F.size(features)).first(), coded.select(F.size(features)).first()
+    if before is None:
+        numeric = []
+    else:
+        numeric = range(after[0] - (before[0] - numeric_from), after[0])
+    return detect(standardize(coded, features, list(numeric)), features, k, threshold, seed, **params)

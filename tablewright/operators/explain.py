@@ -38,7 +38,10 @@ def _scored(model, df, array, out="p"):
 
 
 def _rows(df, key, features, *more):
-    return df.select(F.col(key).alias("row"), vector_to_array(features).alias("x"), *more)
+    """Rows as arrays, spread by key before the callers multiply them."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(key).alias("row"), vector_to_array(features).alias("x"), *more)
+    return rows.repartition(tasks, "row")
 
 
 def coefficient_table(model, names, spark):

@@ -33,15 +33,16 @@ def _order_code(df, value):
     return F.col(value).cast("double")
 
 
-def with_range(df, value, ranges=None, out="_range"):
+def with_range(df, value, ranges=None, out="_range", sample=None):
     """Add the number of the value range each row falls in.
 
     Rows with equal ``value`` share a range, and ranges are ordered as the
-    values are.  NULLs fall in range 0.
+    values are.  NULLs fall in range 0.  The splits come from ``sample``, a
+    frame with the same values, or from ``df`` itself.
     """
     ranges = ranges or range_count(df.sparkSession)
     code = _order_code(df, value)
-    splits = df.select(code.alias("_code")).agg(
+    splits = (df if sample is None else sample).select(code.alias("_code")).agg(
         F.percentile_approx(
             "_code",
             F.array(*[F.lit(i / ranges) for i in range(1, ranges)]),
@@ -86,7 +87,9 @@ def running_total(df, order, weight, out, by=(), rng=None, ranges=None):
     own = rng is None
     if own:
         rng = "_range"
-        df = with_range(df, order[0], ranges, rng)
+        # naming the weight keeps its aggregate in the plan of the splits, so
+        # the shuffle behind ``df`` is done once and reused
+        df = with_range(df, order[0], ranges, rng, df.where(F.col(weight) >= 0))
     inside = W.partitionBy(*by, rng).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     carried = null_safe(df, _carry(df, weight, by, rng), [*by, rng])
     total = carried.withColumn(out, F.sum(weight).over(inside) + F.col("_before")).drop("_before")

@@ -1,4 +1,4 @@
 """Queries over the given tables and the SQL they are checked against."""
 
 from workload.registry import ORACLES, QUERIES
-from workload import tables, texts  # noqa: F401  (importing registers)
+from workload import tables, texts, numbers, learning  # noqa: F401,E402  (importing registers)

@@ -28,7 +28,14 @@ def compare(got_cols, got, want_cols, want):
     a, b = pick(list(got_cols), got), pick(list(want_cols), want)
     if len(a) != len(b):
         return f"rows {len(a)} != {len(b)}"
-    bad = [(x, y) for x, y in zip(a, b) if x != y]
+    def kind(v):
+        return "int" if type(v) is int else type(v).__name__
+
+    for i, c in enumerate(order):
+        kinds = {kind(row[i]) for row in a + b if row[i] is not None}
+        if len(kinds) > 1:
+            return f"column {c} has types {kinds}"
+    bad = [(x, y) for x, y in zip(a, b) if repr(x) != repr(y)]
     return f"{len(bad)} of {len(a)} rows differ, first {bad[0]}" if bad else ""
 
 
