@@ -183,13 +183,12 @@ def nearest_on_line(left, right, score, payload):
         F.first("_bottom", True).over(ordered.rowsBetween(1, W.unboundedFollowing)).alias("_from_above"),
     )
     line = line.join(ends, "_range")
-    inside = W.partitionBy("_range").orderBy(score)
-    below = F.coalesce(
-        F.last("_hit", True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_from_below")
-    )
-    above = F.coalesce(
-        F.first("_hit", True).over(inside.rowsBetween(0, W.unboundedFollowing)), F.col("_from_above")
-    )
+    # two running frames, one per direction: a frame that reaches to the end
+    # would be scanned anew for every row
+    up = W.partitionBy("_range").orderBy(score).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("_range").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
+    below = F.coalesce(F.last("_hit", True).over(up), F.col("_from_below"))
+    above = F.coalesce(F.last("_hit", True).over(down), F.col("_from_above"))
     line = line.withColumn("_below", below).withColumn("_above", above).where("_ask")
 
     def option(side):

@@ -312,7 +312,7 @@ def plain(name):
 
 def digits(name):
     """Skews of small counts are often exact binary fractions: round later."""
-    return 9 if "SKEW" in name else 7
+    return 9 if "SKEW" in name else 4 if name.startswith("STD(") else 7
 
 
 def aggregate_sql(child, numeric, category, boolean=()):

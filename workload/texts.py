@@ -97,10 +97,10 @@ def doc_tokens(t):
     j AS (SELECT a.rep AS rep1, b.rep AS rep2, any_value(a.copies) AS copies1, any_value(b.copies) AS copies2,
       count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard
       FROM e a JOIN e b ON a.token = b.token AND (a.rep < b.rep OR (a.rep = b.rep AND a.copies > 1)) GROUP BY 1, 2)
-    SELECT rep1, rep2, copies1, copies2, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.3"""
+    SELECT rep1, rep2, copies1, copies2, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.5"""
 )
 def simjoin_self_set(t):
-    return rounded(sj.similar_sets(doc_tokens(t), "doc_id", "tokens", 0.3), "jaccard")
+    return rounded(sj.similar_sets(doc_tokens(t), "doc_id", "tokens", 0.5), "jaccard")
 
 
 LISTS = f"""SELECT list_sort({tok('text')}) AS l, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY 1 HAVING len(l) > 0"""
