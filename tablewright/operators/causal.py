@@ -30,7 +30,31 @@ def match_exact(df, treatment, covariates, key="id", pos="pos"):
     )
 
 
-def match_nearest(df, treatment, covariates, radius, key="id", pos="pos", grid=None, levels=3, shrink=8.0):
+def _cells(cols, reach):
+    return {f"_g{i}": F.floor(F.col(c) / reach) for i, c in enumerate(cols)}
+
+
+def _widest(points, covariates, count=2):
+    """The covariates with the largest range; one row reaches the driver."""
+    row = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in covariates]).first()
+    return sorted(covariates, key=lambda c: -(row[c] or 0.0))[:count]
+
+
+def _search_levels(points, grid, radius, shrink, cell_rows, most=10):
+    """How often to shrink the radius until no cell holds too many points."""
+    fullest = None
+    for level in range(most):
+        cells = points.groupBy(*_cells(grid, radius / shrink**level).values()).agg(F.count(F.lit(1)).alias("n"))
+        now = cells.agg(F.max("n")).first()[0] or 0
+        if now <= cell_rows or (level > 1 and now == fullest):
+            return level + 1
+        fullest = now
+    return most
+
+
+def match_nearest(
+    df, treatment, covariates, radius, key="id", pos="pos", grid=None, levels=None, shrink=8.0, cell_rows=1000
+):
     """Controls with their nearest treated row closer than ``radius``.
 
     Exact, without pairing everything.  Space is cut into cells as wide as the
@@ -38,11 +62,13 @@ def match_nearest(df, treatment, covariates, radius, key="id", pos="pos", grid=N
     of its own and the neighbouring cells.  The search starts with a small
     radius and widens by ``shrink`` up to the asked one, for controls not yet
     matched: a hit closer than the cell width cannot be beaten from farther
-    cells.  Equal covariate vectors are collapsed on both sides.
+    cells.  The first radius is such that no cell holds more than
+    ``cell_rows`` treated points (or is given by ``levels``), so dense regions
+    are settled in small cells.  Equal covariate vectors are collapsed on both
+    sides.  ``grid`` defaults to the two covariates with the largest range.
     Ties go to the smallest ``pos``.
     """
     covariates = list(covariates)
-    grid = list(grid or covariates[:2])
     treated, control = _arms(df, treatment)
     kinds = {c: F.col(c).cast("double").alias(c) for c in covariates}
     points = treated.select(*kinds.values(), key, pos).dropna(subset=covariates).groupBy(*covariates).agg(
@@ -50,10 +76,12 @@ def match_nearest(df, treatment, covariates, radius, key="id", pos="pos", grid=N
     )
     asked = control.select(*kinds.values()).dropna().distinct()
     points, open_ = cut(points), cut(asked)
+    grid = list(grid or _widest(points, covariates))
+    levels = levels or _search_levels(points, grid, radius, shrink, cell_rows)
     found = []
     for level in range(levels - 1, -1, -1):
         reach = radius / shrink**level
-        cells = {f"_g{i}": F.floor(F.col(c) / reach) for i, c in enumerate(grid)}
+        cells = _cells(grid, reach)
         here = points.select(*[F.col(c).alias("t_" + c) for c in covariates], "_pos", "match_id", *[e.alias(n) for n, e in cells.items()])
         near = open_.select(*covariates, *[e.alias(n) for n, e in cells.items()])
         for n in cells:

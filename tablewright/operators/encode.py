@@ -18,7 +18,8 @@ def one_hot(df, features, indices, pos, out=None, max_levels=MAX_LEVELS):
     levels = (
         df.select(pos, F.inline(cells)).groupBy("o", "v").agg(F.min(pos).alias("p"))
     )
-    small = levels.agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("o", "p", "v")).alias("d")).select(
+    # one row too many is enough to refuse, and all that is ever collected
+    small = levels.limit(max_levels + 1).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("o", "p", "v")).alias("d")).select(
         F.when(F.col("n") <= max_levels, F.array_sort("d")).otherwise(
             F.raise_error(F.lit(f"more than {max_levels} levels to encode"))
         )

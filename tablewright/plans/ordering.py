@@ -21,16 +21,27 @@ def range_count(spark, at_least=16, at_most=1 << 15):
 
 
 def _order_code(df, value):
-    """A number that sorts as ``value`` does (ties allowed)."""
+    """A number that sorts as ``value`` does (ties allowed).
+
+    For strings, the bytes after the prefix that all of them share.
+    """
     kind = dict(df.dtypes)[value]
     if kind == "string":
-        head = F.rpad(F.substring(F.hex(F.encode(F.col(value), "utf-8")), 1, 14), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
+        ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+        e = F.col("_ends")
+        same = F.filter(
+            F.sequence(F.lit(0), F.length(e["lo"])), lambda i: F.left(e["lo"], i) == F.left(e["hi"], i)
+        )
+        rest = F.substr(F.col(value), F.array_max(same) + 1)
+        head = F.rpad(F.substring(F.hex(F.encode(rest, "utf-8")), 1, 14), 14, "0")
+        return df.withColumn("_ends", ends).withColumn("_code", F.conv(head, 16, 10).cast("double")).drop("_ends")
     if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(value).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(value).cast("double")
-    return F.col(value).cast("double")
+        code = F.unix_micros(F.col(value).cast("timestamp"))
+    elif kind == "date":
+        code = F.unix_date(value)
+    else:
+        code = F.col(value)
+    return df.withColumn("_code", code.cast("double"))
 
 
 def with_range(df, value, ranges=None, out="_range", sample=None):
@@ -41,8 +52,8 @@ def with_range(df, value, ranges=None, out="_range", sample=None):
     frame with the same values, or from ``df`` itself.
     """
     ranges = ranges or range_count(df.sparkSession)
-    code = _order_code(df, value)
-    splits = (df if sample is None else sample).select(code.alias("_code")).agg(
+    coded = _order_code(df, value)
+    splits = (coded if sample is None else _order_code(sample, value)).agg(
         F.percentile_approx(
             "_code",
             F.array(*[F.lit(i / ranges) for i in range(1, ranges)]),
@@ -60,8 +71,7 @@ def with_range(df, value, ranges=None, out="_range", sample=None):
         lambda at, s: F.when(F.element_at("_splits", at + s) < F.col("_code"), at + s).otherwise(at),
     )
     return (
-        df.withColumn("_code", code)
-        .withColumn("_splits", splits.scalar())
+        coded.withColumn("_splits", splits.scalar())
         .withColumn(out, F.coalesce(found, F.lit(0)))
         .drop("_code", "_splits")
     )

@@ -1,14 +1,13 @@
 """Readers for the file formats in use; schemas are given, not inferred."""
 
-from pyspark.sql import functions as F
-
-from tablewright.operators.table import with_position
+from pyspark.sql import Window as W, functions as F
 
 
 def csv(spark, path, schema, header=True, **options):
-    """CSV with quoted text: doubled quotes and line breaks inside quotes.
+    """CSV with quoted text, doubled quotes inside quotes.
 
-    ``multi_line`` off lets Spark split large files.
+    Pass ``multiLine=True`` for line breaks inside quotes; a file is then read
+    by one task.
     """
     multi = options.pop("multiLine", False)
     return (
@@ -27,13 +26,25 @@ def csv_directory(spark, path, schema, **options):
 
 
 def csv_in_order(spark, path, schema, out="pos", **options):
-    """CSV with its row order as ``pos``: 0, 1, ... over all files.
+    """CSV with its row order as ``pos``: 0, 1, ... over all files by name.
 
-    Rows are numbered by ``monotonically_increasing_id``, which follows the
-    order of the files, and then densely.
+    Rows are numbered inside each file split; the row counts of the splits,
+    one row per split, give where each of them starts.
     """
-    raw = csv(spark, path, schema, **options).withColumn("_at", F.monotonically_increasing_id())
-    return with_position(raw, "_at", out).drop("_at")
+    split = ["_file", "_start"]
+    raw = csv(spark, path, schema, **options).select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    before = W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)
+    offsets = raw.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).select(
+        *split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(W.partitionBy(*split).orderBy("_at"))
+    placed = raw.join(offsets, split).withColumn(out, inside - 1 + F.col("_before"))
+    return placed.drop(*split, "_at", "_before")
 
 
 def tsv_gz(spark, path, schema, partitions=None, header=True, **options):

@@ -38,11 +38,11 @@ def brute(pdf, cols, limit):
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("levels", [1, 3])
-def test_nearest_equals_brute_force(spark, seed, levels):
+@pytest.mark.parametrize("cell_rows", [1000, 2])
+def test_nearest_equals_brute_force(spark, seed, cell_rows):
     pdf = cohort(seed)
     df = spark.createDataFrame(pdf)
-    got = {r.id: r.match_id for r in ca.match_nearest(df, "treat", COV, 12.0, levels=levels).collect()}
+    got = {r.id: r.match_id for r in ca.match_nearest(df, "treat", COV, 12.0, cell_rows=cell_rows).collect()}
     assert got == brute(pdf, COV, 12.0)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import stats as st, table as tb
-from tablewright.plans.ordering import exact_quantiles, nearest_on_line, numbered
+from tablewright.plans.ordering import exact_quantiles, nearest_on_line, numbered, with_range
 
 
 def skewed(seed=0, n=3000):
@@ -38,6 +38,10 @@ def test_numbered_on_many_types(spark):
     got = numbered(df, ["v", "id"]).toPandas().sort_values("rn")
     want = pdf.sort_values(["v", "id"])
     assert got["id"].tolist() == want["id"].tolist() and got["rn"].tolist() == list(range(1, 501))
+    pdf["s"] = "prefix-longer-than-seven#" + pdf["s"]
+    df = spark.createDataFrame(pdf)
+    ranged = with_range(df, "s", 16).groupBy("_range").count().toPandas()
+    assert len(ranged) > 8 and ranged["count"].max() < 150
     got = numbered(df, ["s", "id"]).toPandas().sort_values("rn")
     assert got["id"].tolist() == pdf.sort_values(["s", "id"])["id"].tolist()
 

@@ -119,6 +119,11 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "q.csv").write_text('id,t\n2,"a, ""b"""\n1,plain\n')
     rows = readers.csv_in_order(spark, str(tmp_path / "q.csv"), "id int, t string").orderBy("pos").collect()
     assert [tuple(r) for r in rows] == [(2, 'a, "b"', 0), (1, "plain", 1)]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.csv").write_text("id\n1\n2\n")
+    (tmp_path / "many" / "b.csv").write_text("id\n" + "".join(f"{i}\n" for i in range(3, 40)))
+    many = readers.csv_in_order(spark, str(tmp_path / "many"), "id int").collect()
+    assert sorted((r.pos, r.id) for r in many) == [(i, i + 1) for i in range(39)]
     (tmp_path / "log.json").write_text('{"search_ui": "A", "search_count": 3, "is_instructor": true, "z": 1}\n')
     log = readers.json_lines(spark, str(tmp_path / "log.json"), "search_ui string, search_count bigint, is_instructor boolean")
     assert tuple(log.first()) == ("A", 3, True)
