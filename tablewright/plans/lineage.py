@@ -26,11 +26,19 @@ def shared_folder(spark):
     return _FALLBACK[app]
 
 
+def _steps(spark):
+    return os.path.join(shared_folder(spark), spark.sparkContext.applicationId)
+
+
+def clear_steps(spark):
+    """Remove the steps of this application; frames built on them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_steps(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df):
     """Materialise ``df`` in the shared folder and read it back."""
     spark = df.sparkSession
-    path = os.path.join(
-        shared_folder(spark), spark.sparkContext.applicationId, "step-" + uuid.uuid4().hex
-    )
+    path = os.path.join(_steps(spark), "step-" + uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

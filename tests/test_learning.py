@@ -39,7 +39,7 @@ def test_contributions_add_up_to_the_logit(model, ready, spark):
     table = {r.feature: r.coefficient for r in ex.coefficient_table(model, NAMES, spark).collect()}
     parts = ex.contributions(model, ready, "key", NAMES).toPandas().groupby("row")["contribution"].sum()
     p = prob(model, ready)
-    assert np.allclose(parts + table["intercept"], np.log(p / (1 - p)))
+    assert np.allclose(1 / (1 + np.exp(-(parts + table["intercept"]))), p)
 
 
 def test_importances_rank_the_features(model, ready):
