@@ -70,7 +70,7 @@ def list_literal_cells(t):
 
 
 @query(
-    "SELECT count(*) AS vertices, sum(n_regionkey) AS regions, round(sum(n_nationkey * 0.5), 6) AS halves FROM nation"
+    "SELECT count(*) AS vertices, sum(n_regionkey)::BIGINT AS regions, round(sum(n_nationkey * 0.5::DOUBLE), 6) AS halves FROM nation"
 )
 def graphml_scan(t):
     path = scratch(t, "graphml")
