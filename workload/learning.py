@@ -66,7 +66,7 @@ def kmeans_anomaly(t):
 
 
 @query()
-def anomaly_pipeline(t):
+def coded_anomalies(t):
     f = F.array("event_type", F.hour("ts").cast("string"), F.col("value").cast("string"), F.get_json_object("props", "$.k"))
     df = t.events.select("event_id", f.alias("f"))
     return an.detect_coded(df, "f", "event_id", [0, 1], numeric_from=2, k=8, threshold=0.9, restarts=2).select("event_id", "score")
