@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, exact_dedup, sharding, url_filter
+from tablewright.llm import bpe, chat, exact_dedup, html_text, ngram_join, secrets, sharding, url_filter
 from tablewright.plans.session import SETTINGS
 
 QUERIES = {}
@@ -122,8 +122,53 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM norm WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)"""
 
 
+@query
+def op5_secret_scan(table):
+    """Both models are trained on all documents, then every document is searched."""
+    docs = table("documents")
+    found = secrets.find_secrets(docs, secrets.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias("n_" + kind)
+    written = lambda c: F.array_join(
+        F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written("spans").alias("spans"), n("markov"),
+    )
+
+
 @query
 def op6_byte_bpe(table):
     return bpe.round_trip(
         table("documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ).drop("same")
+
+
+@query
+def op9_html_extraction(table):
+    return html_text.extract(table("pages"))
+
+
+@query
+def op10_ngram_join(table):
+    return ngram_join.similar_groups(table("documents"), width=3, percent=90)
+
+
+ORACLES["op10_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g
+  WHERE a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(min(r.y), s.doc_id) AS component_id
+FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)"""
