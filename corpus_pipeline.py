@@ -9,22 +9,42 @@ import uuid
 
 import public_tokenizers
 
-from tablewright.llm import bpe, exact_dedup
+from tablewright.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from tablewright.plans.lineage import shared_folder
 
 
+def toxic_texts(spark, docs, sf_dir):
+    """Texts that the model calls toxic go; it is trained on the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
 def exact_copies(spark, docs, sf_dir):
     """One row of each group of texts equal without white space stays."""
     return exact_dedup.without_copies(docs)
 
 
+def near_copies(spark, docs, sf_dir):
+    """One document of each group linked by Jaccard similarity 0.8 or more of five-word n-grams stays."""
+    return ngram_join.without_near_copies(docs, width=5, percent=80)
+
+
+def benchmark_passages(spark, docs, sf_dir):
+    """Documents that hold a benchmark item's passage go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_passages(docs, items, width=5, percent=80)
+
+
 def token_ids(spark, docs, sf_dir):
     """Every kept document's ids, and the bytes that they decode to."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("toxic_texts", toxic_texts),
     ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("benchmark_passages", benchmark_passages),
     ("token_ids", token_ids),
 ]
 

@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, exact_dedup, html_text, ngram_join, secrets, sharding, url_filter
+from tablewright.llm import (
+    bpe, chat, decontaminate, exact_dedup, html_text, ngram_join, secrets, sharding, toxicity, url_filter,
+)
 from tablewright.plans.session import SETTINGS
 
 QUERIES = {}
@@ -145,6 +147,18 @@ def op6_byte_bpe(table):
     ).drop("same")
 
 
+@query
+def op7_toxicity(table):
+    docs = table("documents")
+    return toxicity.score_texts(docs, toxicity.train(docs, table("labels")))
+
+
+@query
+def op8_decontamination(table):
+    """Every document and item with a window of similarity 0.8 or more on five-word shingles."""
+    return decontaminate.find_passages(table("documents"), table("benchmark"), width=5, percent=80)
+
+
 @query
 def op9_html_extraction(table):
     return html_text.extract(table("pages"))
