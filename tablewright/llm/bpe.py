@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 WORD_BITS = 8  # 256 ranks in a bitmap word
 WORD_MASK = (1 << WORD_BITS) - 1
@@ -231,7 +232,7 @@ def encode_column(df, path, pattern, text_col="text", out="ids"):
                 [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out]
             )
 
-    schema = df.drop(out).schema.add(out, "array<int>")
+    schema = df.drop(out).schema.add(out, ArrayType(IntegerType()))
     return df.drop(out).mapInArrow(run, schema)
 
 
@@ -245,7 +246,7 @@ def decode_column(df, path, pattern, ids_col="ids", out="decoded"):
             found = [own.decode(r.as_py() or ()) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, out])
 
-    schema = df.drop(out).schema.add(out, "binary")
+    schema = df.drop(out).schema.add(out, BinaryType())
     return df.drop(out).mapInArrow(run, schema)
 
 

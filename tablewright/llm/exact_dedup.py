@@ -93,20 +93,16 @@ def without_copies(docs, id_col="doc_id", text_col="text", fan=FAN):
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(digests(docs, id_col, text_col))
-    stay = cut(decide(rows, id_col, parts, fan).where("kept").select(F.col(id_col).alias("s_id"), "text_sha256"))
-    again = stay.groupBy("s_id", "text_sha256").count().where("count > 1")
-    if again.isEmpty() and stay.where("s_id IS NULL").isEmpty():
-        ids = stay.groupBy("s_id").agg(F.count(F.lit(1)).alias("texts"))
-        if ids.where("texts > 1").isEmpty() and rows.groupBy("id").count().where("count > 1").isEmpty():
-            return docs.join(stay.select("s_id"), F.col(id_col) == F.col("s_id"), "left_semi")
-    bare = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WHITE, "")
-    tagged = docs.withColumns({"s_sha": F.sha2(bare.cast("binary"), 256), "s_len": F.length(F.coalesce(text_col, F.lit("")))})
-    stay = stay.distinct()
-    found = tagged.join(
-        stay, F.col(id_col).eqNullSafe(F.col("s_id")) & (F.col("s_sha") == F.col("text_sha256")), "left_semi"
-    )
-    # one of each (id, digest): the longest original, as decided above
-    first = found.groupBy(id_col, "s_sha").agg(
-        F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("s_len", F.coalesce(text_col, F.lit("")))).alias("row")
+    stay = cut(decide(rows, id_col, parts, fan).where("kept").select(F.col(id_col).alias("id"), "text_sha256"))
+    if rows.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty():
+        return docs.join(stay, docs[id_col] == stay["id"], "left_semi")
+    # some ids repeat or are missing: rows are told apart by their text, too
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    whole = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("own"), text.alias("text"),
+        F.sha2(F.regexp_replace(text, WHITE, "").cast("binary"), 256).alias("sha"),
     )
-    return first.select("row.*")
+    stay = stay.distinct()
+    found = whole.join(stay, whole["own"].eqNullSafe(stay["id"]) & (whole["sha"] == stay["text_sha256"]), "left_semi")
+    best = F.max_by("row", F.struct(F.length("text").alias("n"), "text"))
+    return found.groupBy("own", "sha").agg(best.alias("row")).select("row.*")

@@ -70,17 +70,17 @@ def _box(name, attributes, in_article):
 
 def lines_of(page):
     """``(text, weight, in article)`` of each line; a gap is ``("", 0, False)``."""
-    lines, piece, link_chars = [], [], 0
+    lines, piece, weight = [], [], 0
     stack, boxes, articles, links = [], 0, 0, 0
 
     def flush():
-        nonlocal link_chars
+        nonlocal weight
         if piece:
             text = " ".join(html.unescape("".join(piece)).split())
             if text:
-                lines.append((text, max(len(text) - link_chars, 0), articles > 0))
+                lines.append((text, weight, articles > 0))
             piece.clear()
-        link_chars = 0
+        weight = 0
 
     def leave(k):
         """Closes what is open from place k of the stack on."""
@@ -102,8 +102,8 @@ def lines_of(page):
         if stop > at and not boxes:
             said = page[at:stop]
             piece.append(said)
-            if links:
-                link_chars += len(said)
+            if not links:
+                weight += len(said.strip())
         if not tag:
             break
         at = tag.end()

@@ -19,7 +19,7 @@ from tablewright.llm.words import chunks
 KINDS = ("assign", "access", "hex", "markov")
 MIN_CHARS = 16  # of a run that the models judge
 MIN_RATIO = 20.0  # nats in total
-MIN_RATE = 0.9  # nats for each character
+MIN_RATE = 0.6  # nats for each character
 ORDINARY_CHARS = 6  # of a run that trains the ordinary model
 
 _letters = lambda word: "".join(f"[{c.upper()}{c}]" for c in word)  # noqa: E731  no other case folding
@@ -113,11 +113,16 @@ def transitions(docs, text_col="text"):
 
 
 def ratio_table(counts):
-    """Log-likelihood ratio of each transition; unseen ones count 1 in both models."""
-    total = np.ones((2, SIZE, SIZE))
+    """Log-likelihood ratio of each transition.
+
+    Beforehand the random model takes all characters for alike, and firmly;
+    the ordinary one rests on what it has seen.
+    """
+    seen = np.zeros((2, SIZE, SIZE))
     for random, step, n in counts:
-        total[random].flat[step] += n
-    total[0] = np.maximum(total[0] - (total[1] - 1), 1)  # pattern values are not ordinary
+        seen[random].flat[step] += n
+    seen[0] = np.maximum(seen[0] - seen[1], 0)  # pattern values are not ordinary
+    total = seen + np.array([0.05, 1.0])[:, None, None]
     share = total[:, :, : SIZE - 1] / total[:, :, : SIZE - 1].sum(axis=2, keepdims=True)
     ratio = np.zeros((SIZE, SIZE))
     ratio[:, : SIZE - 1] = np.log(share[1] / share[0])
