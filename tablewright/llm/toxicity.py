@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from tablewright.llm.words import chunks, mix, words
 
-MAX_DOCS = 6_000  # labelled texts to train on
+MAX_DOCS = 5_000  # labelled texts to train on
 LANDMARKS = 64  # of toxic units, and as many of others
 NEGATIVES = 20_000  # distinct units of clean texts that train the SVM
 ROUNDS = 4
@@ -81,8 +82,8 @@ def kernel(left, right):
     table = np.zeros((len(used) + 1, len(right)), np.float32)
     table[place, row] = weight
     out = np.zeros((len(left), len(right)), np.float32)
-    for k in range(0, len(left), 2000):
-        row, cell, weight = _features(left[k : k + 2000])
+    for k in range(0, len(left), 500):
+        row, cell, weight = _features(left[k : k + 500])
         place = np.minimum(np.searchsorted(used, cell), max(len(used) - 1, 0))
         hit = used[place] == cell if len(used) else np.zeros(0, bool)
         row, place, weight = row[hit], place[hit], weight[hit]
@@ -105,8 +106,9 @@ class Model:
         out = np.zeros(len(units))
         size = np.array([len(u) for u in units])
         for low, high in ((0, 8), (8, 12), (12, UNIT)):
-            some = np.flatnonzero((size > low) & (size <= high) if low else size <= high)
-            if len(some):
+            own = np.flatnonzero((size > low) & (size <= high) if low else size <= high)
+            for k in range(0, len(own), 10_000):
+                some = own[k : k + 10_000]
                 row, cell, weight = _features([units[i] for i in some])
                 out[some] = np.bincount(row, self.cells[cell] * weight, minlength=len(some))
         return out + self.bias
@@ -173,27 +175,33 @@ def altered(unit):
 
 def fit(bags, labels, landmarks=LANDMARKS, negatives=NEGATIVES, rounds=ROUNDS):
     """Model of bags of units and their labels (0 or 1), on the driver; the caller bounds the bags."""
-    names, place = np.unique(np.array([u for bag in bags for u in bag] or [""]), return_inverse=True)
-    bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    place = place[: len(bag_of)]
+    bags = bags if isinstance(bags, pa.Array) else pa.array(bags, pa.list_(pa.string()))
+    coded = bags.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    names = coded.dictionary.take(order)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    place = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    bag_of = np.repeat(np.arange(len(bags)), pc.list_value_length(bags).to_numpy(zero_copy_only=False))
+    said = lambda which: names.take(pa.array(which)).to_pylist()
     labels = np.asarray(labels, float)
     toxic = np.bincount(place, labels[bag_of], minlength=len(names))
     clean = np.bincount(place, 1 - labels[bag_of], minlength=len(names))
     t, c = max(labels.sum(), 1), max((1 - labels).sum(), 1)
     share = (toxic + clean + 1) / (t + c + 2)
     z = (toxic / t - clean / c) / np.sqrt(share * (1 - share) * (1 / t + 1 / c))
-    z[[len(u) < 3 for u in names.tolist()]] = -np.inf
+    z[pc.utf8_length(names).to_numpy(zero_copy_only=False) < 3] = -np.inf
     marks = np.flatnonzero((z > 3) & (toxic / t > 4 * clean / c))
     marks = marks[np.argsort(-z[marks], kind="stable")]
     if not len(marks) or not (labels == 0).any():  # nothing tells toxic texts apart
         rate = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.01
         return Model(np.zeros(_CELLS, np.float32), -1.0, 1.0, float(np.log(rate / (1 - rate)) + 1.0))
     seen_clean = np.flatnonzero((clean > 0) & (z < 2) & np.isfinite(z))
-    crc = np.array([zlib.crc32(u.encode()) for u in names[seen_clean].tolist()])
+    crc = np.array([zlib.crc32(u.encode()) for u in said(seen_clean)])
     seen_clean = seen_clean[np.argsort(crc, kind="stable")]
     neutral = seen_clean[:negatives]
-    anchors = _spread(names[marks].tolist(), landmarks)
-    anchors += _spread(names[neutral].tolist(), landmarks, 0.6)
+    anchors = _spread(said(marks[: 40 * landmarks]), landmarks)
+    anchors += _spread(said(neutral), landmarks, 0.6)
     values, vectors = np.linalg.eigh(kernel(anchors, anchors).astype(np.float64))
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-3)))
     row, cell, weight = _features(anchors)
@@ -201,9 +209,9 @@ def fit(bags, labels, landmarks=LANDMARKS, negatives=NEGATIVES, rounds=ROUNDS):
     for _ in range(rounds):
         other = np.setdiff1d(np.concatenate([neutral, hard]), witness)
         use = np.concatenate([witness, other])
-        lead = names[marks[:landmarks]].tolist()
+        lead = said(marks[:landmarks])
         more = [(v, toxic[m] / len(u)) for m, u in zip(marks, lead) for v in altered(u)]
-        x = kernel(names[use].tolist() + [v for v, _ in more], anchors) @ root
+        x = kernel(said(use) + [v for v, _ in more], anchors) @ root
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(other)), np.ones(len(more))])
         # as heavy as the texts in which they stand
         heavy = np.concatenate([toxic[witness], np.maximum(clean[other], 1), [n for _, n in more]])
@@ -211,7 +219,7 @@ def fit(bags, labels, landmarks=LANDMARKS, negatives=NEGATIVES, rounds=ROUNDS):
         cells = np.zeros(_CELLS, np.float32)
         np.add.at(cells, cell, weight * (root @ w)[row])
         model = Model(cells, float(b), 1.0, 0.0)
-        value = model.decide(names.tolist())
+        value = np.concatenate([model.decide(names[k : k + 50_000].to_pylist()) for k in range(0, len(names), 50_000)])
         best = np.full(len(bags), -np.inf)
         np.maximum.at(best, bag_of, value[place])
         picked = np.zeros(len(names), bool)
@@ -275,8 +283,9 @@ def train(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", max
     own = own.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.join(F.broadcast(own), "id").select("id", "toxic", "text")  # about max_docs ids
-    table = _bags(known).toArrow().combine_chunks()
-    return fit(table.column("units").to_pylist(), table.column("toxic").to_pylist())
+    table = _bags(known).toArrow().sort_by("id").combine_chunks()
+    bags = table.column("units").combine_chunks()
+    return fit(bags, table.column("toxic").to_numpy())
 
 
 def held_out(id_col, fold=FOLD):
