@@ -12,6 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tablewright.plans.lineage import clear_steps  # noqa: E402
 from tablewright.plans.session import build_session  # noqa: E402
 from workload import QUERIES  # noqa: E402
 
@@ -37,6 +38,7 @@ def main():
         start = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+        clear_steps(spark)
         print(name, took[name], file=sys.stderr, flush=True)
     print(
         json.dumps(

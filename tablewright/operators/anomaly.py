@@ -60,13 +60,14 @@ def anomaly_pipeline(df, features, pos, categorical=(0, 1), numeric=range(12, 48
 def detect_coded(df, features, pos, categorical, numeric_from, k, threshold, seed=7, **params):
     """As ``anomaly_pipeline``, standardising all positions that are not one-hot.
 
-    ``numeric_from`` is the first numeric position before encoding; the width
-    of the encoded part is read from one row.
+    ``numeric_from`` is the first numeric position before encoding.  All rows
+    must have the same number of positions.
     """
     coded = one_hot(df, features, list(categorical), pos)
-    before, after = df.select(F.size(features)).first(), coded.select(F.size(features)).first()
-    if before is None:
-        numeric = []
-    else:
-        numeric = range(after[0] - (before[0] - numeric_from), after[0])
+    size = F.size(features)
+    before = df.where(F.col(features).isNotNull()).agg(F.min(size), F.max(size)).first()
+    after = coded.where(F.col(features).isNotNull()).agg(F.min(size), F.max(size)).first()
+    if before[0] != before[1]:
+        raise ValueError(f"rows of {before[0]} to {before[1]} positions")
+    numeric = range(after[0] - (before[0] - numeric_from), after[0]) if before[0] is not None else []
     return detect(standardize(coded, features, list(numeric)), features, k, threshold, seed, **params)

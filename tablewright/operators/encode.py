@@ -1,29 +1,23 @@
 """Feature encoding, scaling and boxes."""
 
 from pyspark.sql import functions as F
+from tablewright.plans.ordering import numbered
+from tablewright.plans.skew import null_safe
 
 
-MAX_LEVELS = 100_000
-
-
-def one_hot(df, features, indices, pos, out=None, max_levels=MAX_LEVELS):
+def one_hot(df, features, indices, pos, out=None):
     """One-hot of chosen positions of an array of strings.
 
     Levels are ordered by first appearance; the new dimensions come first, in
     the order of ``indices``, the other positions after them.  The levels make
-    up the width of every output row, so their number is checked.
+    up the width of every output row: use ``one_hot_sparse`` where they are many.
     """
     f = F.col(features)
     cells = F.array(*[F.struct(F.lit(n).alias("o"), F.get(f, F.lit(i)).alias("v")) for n, i in enumerate(indices)])
     levels = (
         df.select(pos, F.inline(cells)).groupBy("o", "v").agg(F.min(pos).alias("p"))
     )
-    # one row too many is enough to refuse, and all that is ever collected
-    small = levels.limit(max_levels + 1).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("o", "p", "v")).alias("d")).select(
-        F.when(F.col("n") <= max_levels, F.array_sort("d")).otherwise(
-            F.raise_error(F.lit(f"more than {max_levels} levels to encode"))
-        )
-    )
+    small = levels.agg(F.array_sort(F.collect_list(F.struct("o", "p", "v"))))
     positions = F.array(*[F.lit(i) for i in indices])
     coded = F.transform(
         "_levels",
@@ -35,6 +29,37 @@ def one_hot(df, features, indices, pos, out=None, max_levels=MAX_LEVELS):
     return df.withColumn("_levels", small.scalar()).withColumn(out or features, F.concat(coded, rest)).drop("_levels")
 
 
+def one_hot_sparse(df, features, indices, key, pos, out=None):
+    """As ``one_hot`` for any number of levels: ``struct(indices, values)`` of the cells that are not 0.
+
+    The levels stay a table; they are numbered in their order without a global
+    window and joined to the cells.  ``key`` tells the rows apart.  Each row
+    also has ``width``, the length of the dense form.
+    """
+    f = F.col(features)
+    cells = F.array(*[F.struct(F.lit(n).alias("o"), F.get(f, F.lit(i)).alias("v")) for n, i in enumerate(indices)])
+    own = df.select(key, pos, F.inline(cells))
+    levels = own.groupBy("o", "v").agg(F.min(pos).alias("p"))
+    coded = numbered(levels, ["p", "o"], "n", by=["o"]).select("o", "v", "n")
+    sizes = levels.groupBy("o").agg(F.count(F.lit(1)).alias("levels"))  # a row for each position
+    before = sizes.join(sizes.select(F.col("o").alias("b"), F.col("levels").alias("l")), F.col("b") < F.col("o"), "left")
+    before = before.groupBy("o").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("before"))
+    placed = null_safe(own.select(key, "o", "v"), coded, ["o", "v"]).join(before, "o")
+    hot = placed.groupBy(key).agg(F.sort_array(F.collect_list((F.col("before") + F.col("n") - 1).cast("int"))).alias("_hot"))
+    positions = F.array(*[F.lit(i) for i in indices])
+    rest = F.transform(F.filter(f, lambda x, i: ~F.array_contains(positions, i)), lambda x: x.cast("double"))
+    total = sizes.agg(F.sum("levels").cast("int")).scalar()
+    wide = null_safe(df, hot, [key]).withColumn("_levels", total).withColumn("_rest", rest)
+    kept = F.filter(F.sequence(F.lit(1), F.size("_rest")), lambda i: ~F.coalesce(F.get("_rest", i - 1) == 0, F.lit(False)))
+    kept = F.when(F.size("_rest") > 0, kept).otherwise(F.array().cast("array<int>"))
+    value = F.struct(
+        F.concat("_hot", F.transform(kept, lambda i: i - 1 + F.col("_levels"))).alias("indices"),
+        F.concat(F.transform("_hot", lambda _: F.lit(1.0)), F.transform(kept, lambda i: F.get("_rest", i - 1))).alias("values"),
+    )
+    wide = wide.withColumn("width", F.col("_levels") + F.size("_rest"))
+    return wide.withColumn(out or features, value).drop("_hot", "_rest", "_levels")
+
+
 def standardize(df, features, indices, out=None):
     """(x - mean) / sample std of chosen positions; constants become 0.
 
@@ -61,10 +86,11 @@ def standardize(df, features, indices, out=None):
 
 
 def standardize_cells(df, features, out=None):
-    """All cells of an array column by one mean and population std."""
+    """All cells of an array column by one mean and population std; missing cells stay missing and do not count."""
     f = F.transform(F.col(features), lambda x: x.cast("double"))
-    fold = lambda fn: F.aggregate(f, F.lit(0.0), lambda acc, x: acc + fn(x))
-    n = F.sum(F.size(f))
+    there = F.filter(f, lambda x: x.isNotNull())
+    fold = lambda fn: F.aggregate(there, F.lit(0.0), lambda acc, x: acc + fn(x))
+    n = F.sum(F.when(F.col(features).isNotNull(), F.size(there)))
     mean = df.agg(F.sum(fold(lambda x: x)) / n).scalar()
     with_mean = df.withColumn("_m", mean)
     spread = with_mean.agg(

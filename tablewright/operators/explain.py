@@ -85,8 +85,8 @@ def permutation_importance(model, df, key, names, label, features="features", se
 
 
 def partial_dependence(model, df, key, names, features="features", grid=100, low=0.05, high=0.95, chosen=None):
-    """``(feature, value, mean)`` on an even grid between two percentiles."""
-    chosen = list(chosen if chosen is not None else range(min(11, len(names))))
+    """``(feature, value, mean)`` on an even grid between two percentiles, for all features or the ``chosen``."""
+    chosen = list(chosen if chosen is not None else range(len(names)))
     rows = _rows(df, key, features)
     picked = F.array(*[F.lit(f) for f in chosen])
     cells = rows.select(F.explode(picked).alias("f"), "x").select("f", F.get("x", F.col("f")).alias("v"))

@@ -67,11 +67,11 @@ def subgraph(vertices, edges, condition):
     return kept, inner.select("src", "dst")
 
 
-def pagerank(vertices, edges, damping=0.85, epsilon=1e-6, max_iter=100, cut_every=4, fixed=False):
+def pagerank(vertices, edges, damping=0.85, epsilon=1e-6, max_iter=None, cut_every=4, fixed=False):
     """``(id, rank)``, summing to 1; the mass of lone vertices is shared out.
 
-    Stops when the ranks move by less than ``epsilon`` in total, checked at
-    every cut; ``fixed`` runs ``max_iter`` rounds.
+    Goes on until the ranks move by less than ``epsilon`` in total, checked at
+    every cut; with ``max_iter`` at most so many rounds, with ``fixed`` exactly.
     """
     arcs = cut(both_ways(edges))
     out = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("out")).withColumnRenamed("src", "id")
@@ -80,7 +80,9 @@ def pagerank(vertices, edges, damping=0.85, epsilon=1e-6, max_iter=100, cut_ever
         vertices.select("id").join(out, "id", "left").withColumn("n", n).withColumn("rank", 1 / F.col("n"))
     )
     before = ranks
-    for step in range(1, max_iter + 1):
+    step = 0
+    while max_iter is None or step < max_iter:
+        step += 1
         share = ranks.where("out IS NOT NULL").select(
             F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share")
         )
@@ -100,7 +102,7 @@ def pagerank(vertices, edges, damping=0.85, epsilon=1e-6, max_iter=100, cut_ever
                 ).alias("rank"),
             )
         )
-        if step % cut_every == 0 and step < max_iter:
+        if step % cut_every == 0 and step != max_iter:
             ranks = cut(ranks)
             if not fixed:
                 old = before.select("id", F.col("rank").alias("old"))
@@ -111,7 +113,7 @@ def pagerank(vertices, edges, damping=0.85, epsilon=1e-6, max_iter=100, cut_ever
     return ranks.select("id", "rank")
 
 
-def components(vertices, edges, max_rounds=60):
+def components(vertices, edges):
     """``(id, component)``: the smallest id of the component.
 
     Alternating large-star and small-star rounds: each rewires arcs towards
@@ -120,7 +122,7 @@ def components(vertices, edges, max_rounds=60):
     """
     arcs = cut(edges.select(F.col("src").alias("low"), F.col("dst").alias("high")))
     state = None
-    for _ in range(max_rounds):
+    while True:
         arcs = _star(arcs, large=True)
         arcs = cut(_star(arcs, large=False))
         seen = arcs.agg(
@@ -129,8 +131,6 @@ def components(vertices, edges, max_rounds=60):
         if tuple(seen) == state:
             break
         state = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     return vertices.select("id").join(
         arcs.select(F.col("high").alias("id"), F.col("low").alias("component")), "id", "left"
     ).select("id", F.coalesce("component", "id").alias("component"))
@@ -185,18 +185,22 @@ def pivots(vertices, count=None, seed=7):
     return ids.orderBy(hash_uniform(seed, F.lit(0), "source"), "source").limit(count)
 
 
-def shortest_paths(vertices, edges, sources=None, max_depth=10_000):
+def shortest_paths(vertices, edges, sources=None, max_depth=None):
     """``(source, id, dist, sigma)``: hops and number of shortest paths.
 
     Breadth first from all sources at once, level by level: a join with the
-    arcs, counts summed per (source, vertex), vertices seen before left out.
+    arcs, counts summed per (source, vertex), vertices seen before left out.  All levels are
+    followed; with ``max_depth`` deeper ones are left out, and a column
+    ``complete`` says whether there are none.
     """
     arcs = cut(both_ways(edges))
     start = pivots(vertices) if sources is None else sources
     levels = [
         cut(start.select("source", F.col("source").alias("id"), F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
     ]
-    for depth in range(1, max_depth + 1):
+    depth, complete = 0, False
+    while True:
+        depth += 1
         reached = (
             levels[-1]
             .join(arcs, F.col("id") == F.col("src"))
@@ -208,12 +212,15 @@ def shortest_paths(vertices, edges, sources=None, max_depth=10_000):
             reached = reached.join(old.select("source", "id"), ["source", "id"], "left_anti")
         level = cut(reached.select("source", "id", F.lit(depth).alias("dist"), "sigma"))
         if level.isEmpty():
+            complete = True
+            break
+        if max_depth is not None and depth > max_depth:
             break
         levels.append(level)
     paths = levels[0]
     for level in levels[1:]:
         paths = paths.unionByName(level)
-    return paths
+    return paths if max_depth is None else paths.withColumn("complete", F.lit(complete))
 
 
 def distance_histogram(paths):

@@ -124,41 +124,48 @@ def synthesize(tables, relations, target, depth=2, parts=DATE_PARTS, numeric=NUM
     """Feature table of ``target``: its key and one column per feature.
 
     Counts and sums of a row without children are 0, other aggregates NULL.
-    Grandchildren contribute through their parents (stacked aggregates) and
-    directly.
+    Tables below the children, down to ``depth`` levels, contribute through
+    their parents (stacked aggregates) and directly.
     """
     known = {t.name: add_date_parts(t, parts) for t in tables}
     base = known[target]
-    out = base.frame.select(base.key, *[q(c) for c in [*base.numeric, *base.category, *base.boolean]])
-    for rel in [r for r in relations if r.parent == target]:
-        child, direct = known[rel.child], []
-        if depth > 1:
-            for below in [r for r in relations if r.parent == rel.child]:
-                grand = known[below.child]
-                made = aggregates(grand, below.column, numeric, median).withColumnRenamed(below.column, child.key)
-                names = [c for c in made.columns if c != child.key]
-                frame = _zero_counts(child.frame.join(made, child.key, "left"), names)
-                kinds = dict(frame.dtypes)
-                modes = [c for c in names if c.startswith("MODE(")]
-                child = Table(
-                    child.name, frame, child.key,
-                    [*child.numeric, *[c for c in names if c not in modes and kinds[c] != "string"]],
-                    [*child.category, *modes], child.boolean, child.time,
-                )
-                owner = known[rel.child].frame.select(F.col(child.key).alias(below.column), rel.column)
-                extra = [c for c in grand.frame.columns if c not in (below.column, rel.column)]
-                direct.append(
-                    Table(
-                        grand.name,
-                        grand.frame.select(below.column, *[q(c) for c in extra]).join(owner, below.column),
-                        grand.key, grand.numeric, grand.category, grand.boolean, grand.time,
-                    )
-                )
-        for t in [child, *direct]:
-            made = aggregates(t, rel.column, numeric, median).withColumnRenamed(rel.column, base.key)
-            names = [c for c in made.columns if c != base.key]
-            out = _zero_counts(out.join(made, base.key, "left"), names)
-    return out
+    plain = base.frame.select(base.key, *[q(c) for c in [*base.numeric, *base.category, *base.boolean]])
+    frame, _ = _with_features(plain, base, known, relations, depth, numeric, median)
+    return frame
+
+
+def _with_features(frame, base, known, relations, depth, numeric, median):
+    """``frame`` with the features of the tables below ``base``, and their names."""
+    names = []
+    for table, column in _below(base.name, known, relations, depth, numeric, median):
+        made = aggregates(table, column, numeric, median).withColumnRenamed(column, base.key)
+        own = [c for c in made.columns if c != base.key]
+        frame = _zero_counts(frame.join(made, base.key, "left"), own)
+        names += own
+    return frame, names
+
+
+def _below(name, known, relations, depth, numeric, median):
+    """Tables up to ``depth`` levels below, each with its own features and the column that leads up to ``name``."""
+    found = []
+    for rel in [r for r in relations if r.parent == name] if depth > 0 else []:
+        child = known[rel.child]
+        frame, names = _with_features(child.frame, child, known, relations, depth - 1, numeric, median)
+        kinds = dict(frame.dtypes)
+        modes = [c for c in names if c.startswith("MODE(")]
+        numbers = [c for c in names if c not in modes and kinds[c] != "string"]
+        found.append((
+            Table(child.name, frame, child.key, [*child.numeric, *numbers], [*child.category, *modes], child.boolean, child.time),
+            rel.column,
+        ))
+        for table, column in _below(rel.child, known, relations, depth - 1, numeric, median):
+            owner = child.frame.select(F.col(child.key).alias(column), rel.column)
+            extra = [c for c in table.frame.columns if c not in (column, rel.column)]
+            lifted = table.frame.select(column, *[q(c) for c in extra]).join(owner, column)
+            found.append((
+                Table(table.name, lifted, table.key, table.numeric, table.category, table.boolean, table.time), rel.column
+            ))
+    return found
 
 
 def _zero_counts(df, names):

@@ -183,8 +183,9 @@ def crosstab_wide(df, rows, cols, levels=None):
     wide = base.groupBy(rows).pivot(cols, levels).agg(F.count(F.lit(1))).fillna(0)
     names = [c for c in wide.columns if c != rows]
     margin = wide.agg(*[F.sum(f"`{c}`").alias(c) for c in names]).select(F.lit("All").alias(rows), "*")
-    total = sum((F.col(f"`{c}`") for c in names[1:]), F.col(f"`{names[0]}`"))
-    return wide.unionByName(margin).withColumn("All", total)
+    every = base.rollup(rows).agg(F.count(F.lit(1)).alias("All"))  # also of values that are not among the levels
+    every = every.select(F.coalesce(rows, F.lit("All")).alias(rows), "All")
+    return wide.unionByName(margin).join(every, rows)
 
 
 def histogram(df, value, bins=10):

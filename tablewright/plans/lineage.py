@@ -7,38 +7,40 @@ the next round.  The table outlives any executor.
 """
 
 import os
-import tempfile
 import uuid
 
-_FALLBACK = {}
+_MARKED = set()
 
 
 def shared_folder(spark):
-    """The folder of ``spark.checkpoint.dir``; a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``; in local mode, if unset, one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="tablewright-")
-    return _FALLBACK[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_steps")
 
 
-def _steps(spark):
-    return os.path.join(shared_folder(spark), spark.sparkContext.applicationId)
+def steps_folder(spark):
+    """The application's own part of the shared folder; it goes when the application ends."""
+    top = os.path.join(shared_folder(spark), spark.sparkContext.applicationId)
+    if top not in _MARKED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _MARKED.add(top)
+    return top
 
 
 def clear_steps(spark):
     """Remove the steps of this application; frames built on them are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_steps(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df):
     """Materialise ``df`` in the shared folder and read it back."""
     spark = df.sparkSession
-    path = os.path.join(_steps(spark), "step-" + uuid.uuid4().hex)
+    path = os.path.join(steps_folder(spark), "step-" + uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -105,3 +105,12 @@ def test_influencers_and_subgraph(spark):
     assert sum(got.values()) == pytest.approx(1, abs=1e-4)
     full = {r.id for r in gr.influencers(v, e, keep_from=0.01, rerank="full").collect()}
     assert full == {"hub", *[f"r{i}" for i in range(8)]}
+
+
+def test_a_long_path_is_followed_to_its_end(spark):
+    v = spark.range(10).selectExpr("id")
+    e = spark.range(9).selectExpr("id AS src", "id + 1 AS dst")
+    assert gr.diameter(gr.shortest_paths(v, e)).first()[0] == 9
+    part = gr.shortest_paths(v, e, max_depth=3)
+    assert gr.diameter(part).first()[0] == 3 and {r.complete for r in part.select("complete").distinct().collect()} == {False}
+    assert gr.shortest_paths(v, e, max_depth=9).select("complete").first()[0]

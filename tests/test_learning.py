@@ -143,3 +143,20 @@ def test_synthesized_features(spark):
     assert {r.item: r["name = x"] for r in top.collect()} == {100: 1, 101: 0, 102: 0, 103: 1}
     skew = spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "v double").agg(sy.bias_corrected_skew(F.col("v"))).first()[0]
     assert skew == pytest.approx(1.6301, abs=1e-4)
+
+
+def test_features_of_four_levels(spark):
+    from tablewright.operators import synth as sy
+
+    a = spark.createDataFrame([(1,), (2,)], "a long")
+    b = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "b long, a long")
+    c = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "c long, b long")
+    d = spark.createDataFrame([(1, 1, 5.0), (2, 1, 7.0), (3, 3, 1.0), (4, 4, 2.0)], "d long, c long, x double")
+    tables = [sy.Table("a", a, "a"), sy.Table("b", b, "b"), sy.Table("c", c, "c"), sy.Table("d", d, "d", numeric=["x"])]
+    relations = [sy.Relation("a", "b", "a"), sy.Relation("b", "c", "b"), sy.Relation("c", "d", "c")]
+    two, three = sy.synthesize(tables, relations, "a", 2), sy.synthesize(tables, relations, "a", 3)
+    assert set(two.columns) < set(three.columns)
+    got = {r["a"]: r for r in three.collect()}
+    # each d of 1 hangs from c 1 and 3, and those from b 1 and 2
+    assert (got[1]["COUNT(d)"], got[1]["SUM(d.x)"], got[1]["MAX(b.SUM(c.SUM(d.x)))"]) == (3, 13.0, 12.0)
+    assert (got[2]["COUNT(d)"], got[2]["MEAN(b.MEAN(d.x))"], got[2]["SUM(c.COUNT(d))"]) == (1, 2.0, 1)

@@ -36,10 +36,42 @@ def test_equal_groups_score_nothing(spark):
     assert an.rare_group_score(df, "g", 0.0).count() == 0
 
 
-def test_too_many_levels_are_refused(spark):
-    df = spark.createDataFrame(TOY, "id int, f array<string>")
-    with pytest.raises(Exception, match="levels to encode"):
-        ec.one_hot(df, "f", [0, 1], "id", max_levels=3).collect()
+def test_sparse_one_hot_equals_the_dense_form(spark):
+    df = spark.createDataFrame([*TOY, (9, [None, "tcp", "0"]), (10, ["http", None, None])], "id int, f array<string>")
+    dense = {r.id: r.f for r in ec.one_hot(df, "f", [0, 1], "id").collect()}
+    for r in ec.one_hot_sparse(df, "f", [0, 1], "id", "id").collect():
+        full = [0.0] * r.width
+        for i, v in zip(r.f.indices, r.f["values"]):
+            full[i] = v
+        assert full == dense[r.id], r
+
+
+def test_many_levels(spark):
+    df = spark.range(150_000).selectExpr("id", "array(cast(id AS string), 'x', '2') AS f")
+    got = ec.one_hot_sparse(df, "f", [0, 1], "id", "id").where("id IN (0, 149999)").collect()
+    assert {(r.id, tuple(r.f.indices), tuple(r.f["values"]), r.width) for r in got} == {
+        (0, (0, 150_000, 150_001), (1.0, 1.0, 2.0), 150_002), (149_999, (149_999, 150_000, 150_001), (1.0, 1.0, 2.0), 150_002)
+    }
+
+
+def test_missing_cells_do_not_count(spark):
+    df = spark.createDataFrame([(1, [1.0, None, 3.0]), (2, [2.0, 4.0, 6.0]), (3, None)], "id int, f array<double>")
+    out = {r.id: r.f for r in ec.standardize_cells(df, "f").collect()}
+    v = np.array([1.0, 3.0, 2.0, 4.0, 6.0])
+    assert out[1][1] is None and out[3] is None
+    assert np.allclose([out[1][0], out[1][2], *out[2]], (v - v.mean()) / v.std())
+
+
+def test_levels_not_asked_for_count_in_the_total(spark):
+    df = spark.createDataFrame([("a", "F"), ("a", "P"), ("b", "P")], "r string, c string")
+    got = {r.r: (r.F, r.All) for r in tb.crosstab_wide(df, "r", "c", ["F"]).collect()}
+    assert got == {"a": (1, 2), "b": (0, 1), "All": (1, 3)}
+
+
+def test_rows_of_different_width_are_refused(spark):
+    df = spark.createDataFrame([(1, ["a", "1"]), (2, ["b", "1", "2"])], "id int, f array<string>")
+    with pytest.raises(ValueError, match="positions"):
+        an.detect_coded(df, "f", "id", [0], 1, 2, 0.9)
 
 
 def test_scaling_rules(spark):
@@ -143,3 +175,12 @@ def test_graphml(spark, tmp_path):
     bob = v.where("id = 'n0'").select(F.col("data")["k0"], readers.hex_floats(F.col("data")["k1"])).first()
     assert tuple(bob) == ("Bob", [3.0, -0.5])
     assert tuple(e.select("src", "dst", readers.hex_float(F.col("data")["k2"])).first()) == ("n0", "n1", 4.0)
+
+
+def test_links_in_any_quotes_and_references(spark):
+    page = "<a href='/x'>Caf&eacute; &#233;&#xE9;</a><a class='nav' href=\"/y\">n</a><a href=/z>&amp;lt; &nbsp;&bogus; &</a><a class=\"\" href=\"/q?a=1&amp;b=2\">q</a>"
+    got = pg.links(spark.createDataFrame([(1, page)], "page_id int, html string"), ["page_id"]).orderBy("link_no").collect()
+    assert [(r.text, r.href) for r in got] == [("Café éé", "/x"), ("&lt;  &bogus; &", "/z"), ("q", "/q?a=1&b=2")]
+    marked = "<div class='textimage section'><p>one</p></div><div class=\"textimage section\"><p>two</p></div>"
+    parts = pg.sections(spark.createDataFrame([(1, marked)], "page_id int, html string"))
+    assert parts.count() == 2

@@ -63,6 +63,11 @@ def test_chi_squared_with_an_empty_cell(spark):
     e = o.sum(1, keepdims=True) * o.sum(0) / o.sum()
     assert got.statistic == pytest.approx(((o - e) ** 2 / e).sum())
     assert (got.dof, got.critical) == (1, 3.841)
+    many = spark.createDataFrame([(i % 12, i % 2) for i in range(1200)], "r int, c int")
+    wide = st.chi_squared(many, "r", "c").first()
+    assert (wide.dof, wide.statistic, wide.critical, wide.dependent) == (11, pytest.approx(1200), 19.675, True)
+    even = st.chi_squared(spark.createDataFrame([(i % 12, i % 7) for i in range(84)], "r int, c int"), "r", "c").first()
+    assert even.p_value == pytest.approx(1) and even.dof == 66 and not even.dependent
     flat = st.chi_squared(spark.createDataFrame([("a", "x"), ("a", "y")], "r string, c string"), "r", "c").first()
     assert flat.dof == 0 and flat.critical is None
 

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tablewright.plans.lineage import clear_steps
 from workload import ORACLES, QUERIES
 from workload.check import compare, connect
 
@@ -20,5 +21,6 @@ def duck():
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     rows = [tuple(r) for r in df.collect()]
+    clear_steps(spark)
     res = duck.execute(ORACLES[name])
     assert compare(df.columns, rows, [c[0] for c in res.description], res.fetchall()) == ""

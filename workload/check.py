@@ -5,6 +5,7 @@ import time
 
 import duckdb
 
+from tablewright.plans.lineage import clear_steps
 from tablewright.plans.session import build_session
 from workload import ORACLES, QUERIES
 
@@ -64,6 +65,7 @@ def main(folder, names):
         except Exception as e:  # report and go on
             diff = str(e)
             print(f"FAIL {name} {time.time() - start:.1f}s {diff[:900]}", flush=True)
+        clear_steps(spark)
         if diff:
             failed.append(name)
     print("failed:", failed)

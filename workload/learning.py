@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
+from tablewright.functions.sampling import hash_uniform
 from tablewright.operators import anomaly as an, explain as ex, models as ml
 from tablewright.plans.lineage import cut
 from workload.numbers import order_features
@@ -38,7 +39,8 @@ def station_model(t):
         "l_suppkey", "l_orderkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("latitude"),
         F.col("l_discount").alias("longitude"), F.col("l_tax").alias("elevation"), (F.col("l_extendedprice") / 1000).alias("tmax"),
     )
-    model = ml.day_pipeline(rounds=3, depth=4).fit(df.where("l_orderkey IS NOT NULL"))
+    held_out = hash_uniform(7, F.lit(0), "l_orderkey") >= 1 - 0.3  # as ``score`` takes them
+    model = ml.day_pipeline().fit(df.where(~held_out))
     path = scratch(t, "model")
     ml.save_model(model, path)
     scored = ml.score(ml.load_model(path), df, 0.3, "l_orderkey")
@@ -52,7 +54,7 @@ def grid_score(t):
         F.col("l_shipdate").cast("date").alias("date"), F.col("l_discount").alias("latitude"), F.col("l_tax").alias("longitude"),
         F.col("l_quantity").alias("elevation"), (F.col("l_extendedprice") / 1000).alias("tmax"),
     )
-    model = ml.day_pipeline(rounds=2, depth=3).fit(df)
+    model = ml.day_pipeline().fit(df)
     height = df.groupBy(F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude")).agg(
         F.avg("elevation").alias("elevation")
     )
@@ -62,14 +64,14 @@ def grid_score(t):
 
 @query()
 def kmeans_anomaly(t):
-    return an.detect(t.embeddings.select("vec_id", "embedding"), "embedding", 8, 0.9, restarts=2).select("vec_id", "score")
+    return an.detect(t.embeddings.select("vec_id", "embedding"), "embedding", 8, 0.9).select("vec_id", "score")
 
 
 @query()
 def coded_anomalies(t):
     f = F.array("event_type", F.hour("ts").cast("string"), F.col("value").cast("string"), F.get_json_object("props", "$.k"))
     df = t.events.select("event_id", f.alias("f"))
-    return an.detect_coded(df, "f", "event_id", [0, 1], numeric_from=2, k=8, threshold=0.9, restarts=2).select("event_id", "score")
+    return an.detect_coded(df, "f", "event_id", [0, 1], numeric_from=2, k=8, threshold=0.9).select("event_id", "score")
 
 
 @query()
@@ -94,7 +96,7 @@ def permutation_importance(t):
 @query()
 def partial_dependence(t):
     df = documents(t)
-    return ex.partial_dependence(boosted(df), df, "doc_id", DOC, grid=20)
+    return ex.partial_dependence(boosted(df), df, "doc_id", DOC)
 
 
 @query()
@@ -119,7 +121,7 @@ def local_surrogate(t):
 @query()
 def perceptron_accuracy(t):
     df = documents(t)
-    model = ml.perceptron(len(DOC), hidden=(8,), maxIter=30).fit(df)
+    model = ml.perceptron(len(DOC)).fit(df)
     return model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
@@ -154,5 +156,5 @@ def selected_features_auc(t):
     cols = ["count", "total", "mean", "std", "latest"]
     df = order_features(t).withColumn("label", (F.col("label") > 5000).cast("double"))
     ready = cut(ml.assemble(df, cols).select("c_custkey", "features", "label"))
-    auc = ml.cross_auc(ml.forest_classifier(trees=20), ready, "label", "c_custkey")
+    auc = ml.cross_auc(ml.forest_classifier(), ready, "label", "c_custkey")
     return ready.agg(F.count(F.lit(1)).alias("rows")).withColumn("auc", F.lit(auc))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tablewright.functions import text as tx
 from tablewright.functions.sampling import split_by_hash
 from tablewright.operators import encode as ec, models as ml, table as tb
-from tablewright.plans.lineage import shared_folder
+from tablewright.plans.lineage import steps_folder
 from tablewright.sources import readers, writers
 from workload.registry import query, r, rounded, u
 
 
 def scratch(t, name):
-    return os.path.join(shared_folder(t.spark), t.spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(steps_folder(t.spark), f"{name}-{uuid.uuid4().hex}")
 
 
 # -- sources and sinks ------------------------------------------------------
@@ -265,7 +265,7 @@ def crosstab_margins(t):
     count_if(l_linestatus = 'O') AS "O", count(*) AS "All" FROM lineitem GROUP BY ROLLUP (l_returnflag)"""
 )
 def crosstab_wide(t):
-    return tb.crosstab_wide(t.lineitem, "l_returnflag", "l_linestatus", ["F", "O"])
+    return tb.crosstab_wide(t.lineitem, "l_returnflag", "l_linestatus")
 
 
 @query(

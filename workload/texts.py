@@ -340,5 +340,5 @@ def active_learning(t):
     pages, pairs = page_pairs(t)
     both = en.record_pairs(pairs, pages, "page_id", ["title", "url", "h1", "lang"])
     f = en.pair_features(both, "title", "url", "h1", "lang").select("id1", "id2", "jaccard", *en.FEATURES)
-    scored, _ = en.active_learning(f, title_truth(pages), rounds=3)
+    scored, _ = en.active_learning(f, title_truth(pages))
     return scored
