@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers
 
 from tablewright.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
-from tablewright.plans.lineage import shared_folder
+from tablewright.plans.lineage import steps_folder
 
 
 def toxic_texts(spark, docs, sf_dir):
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = os.path.join(shared_folder(spark), spark.sparkContext.applicationId, "pipeline-" + uuid.uuid4().hex)
+    top = os.path.join(steps_folder(spark), "pipeline-" + uuid.uuid4().hex)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{top}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

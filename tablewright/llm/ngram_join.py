@@ -12,9 +12,11 @@ Pairs whose whole sketches are too far apart are dropped; the texts of the rest
 are compared exactly.
 
 A piece that many documents share is not expanded into pairs: all are compared
-with the smallest one first; after that only members of different components
-are compared, with more and more of them as centres, until every pair was
-compared or both sides are known to be connected.
+with the one first that shares most with others, usually the text the others
+were made from.  After that only members of different components are compared,
+with more and more of them as centres, until every pair was compared or both
+sides are known to be connected; the join itself drops pairs whose sketches are
+too far apart.
 """
 
 from functools import reduce
@@ -28,7 +30,8 @@ from tablewright.operators.graph import components
 from tablewright.plans.lineage import cut
 
 GROWTH = 1.5  # of the sizes from band to band
-SKETCH = 4  # 64-bit words of the whole sketch
+STEP_BITS = 6  # each step compares with 2^6 times as many centres of a piece
+SKETCH = 16  # 64-bit words of the whole sketch
 FEW_IDS = 2_000_000  # ids up to which those of candidates go to every task (16 MB)
 
 
@@ -36,8 +39,9 @@ class Bands:
     """Bands of set sizes, and how many pieces a document of a size has in each."""
 
     def __init__(self, percent, growth=GROWTH):
-        self.percent, self.growth, self.schemes = percent, growth, []
-        self.low = 1
+        # a pair spans one boundary at most, and no size lies in two zones
+        self.percent, self.growth, self.schemes = percent, max(growth, 1.05 * (100 / percent) ** 2), []
+        self.low, self.zone_end = 1, 0
         self.home, self.zone = np.full(1, -1), np.full(1, -1)
 
     def _pieces(self, a, b):
@@ -52,6 +56,8 @@ class Bands:
             return
         while self.low <= largest:
             after = max(self.low + 1, int(self.low * self.growth))
+            while -(-self.percent * after // 100) <= self.zone_end:
+                after += 1
             home = np.full(max(after + after // 2, len(self.home)), -1)
             zone = home.copy()
             home[: len(self.home)], zone[: len(self.zone)] = self.home, self.zone
@@ -64,6 +70,7 @@ class Bands:
                 home = np.concatenate([home, np.full(len(zone) - len(home), -1)])
                 zone[first : last + 1] = len(self.schemes)
                 self.schemes.append(self._pieces(after - 1, last))
+                self.zone_end = last
             self.home, self.zone, self.low = home, zone, after
 
 
@@ -141,9 +148,8 @@ def sketches(docs, width, percent, id_col="id", text_col="text"):
                     whole[0, some] = np.add.reduceat(mix(value ^ np.uint64(0xA5A5)), begin)
                     whole[1, some] = np.add.reduceat(mix(value ^ np.uint64(0x5A5A)), begin)
                     flip = np.uint64(1) << (value & np.uint64(63))
-                    word = (value >> np.uint64(6)) % np.uint64(SKETCH)
-                    for k in range(SKETCH):
-                        whole[2 + k, some] = np.bitwise_xor.reduceat(np.where(word == k, flip, np.uint64(0)), begin)
+                    word = ((value >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64)
+                    np.bitwise_xor.at(whole, (2 + word, row), flip)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, n), pa.array(count.astype(np.int64)), *[pa.array(w.view(np.int64)) for w in whole],
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))],
@@ -156,15 +162,26 @@ def sketches(docs, width, percent, id_col="id", text_col="text"):
     return rows.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
 
 
+SKETCH_COLS = ["n", *[f"s{k}" for k in range(SKETCH)]]
+
+
+def _near(a, b, percent):
+    """Whether sizes and sketches, in columns prefixed ``a`` and ``b``, allow two sets to be similar."""
+    small, large = F.least(a + "n", b + "n"), F.greatest(a + "n", b + "n")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH_COLS[1:]])
+    few = apart * (100 + percent) <= (100 - percent) * (F.col(a + "n") + F.col(b + "n"))
+    return (small * 100 >= large * percent) & few
+
+
+def _prefixed(classes, name):
+    return classes.select(F.col("id").alias(name), *[F.col(c).alias(name + c) for c in SKETCH_COLS])
+
+
 def _possible(pairs, classes, percent):
-    """Distinct pairs of classes ``a < b`` that size and sketch allow to be similar."""
-    cols = ["n", *[f"s{k}" for k in range(SKETCH)]]
-    side = lambda x: classes.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in cols])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    small, large = F.least("an", "bn"), F.greatest("an", "bn")
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"as{k}").bitwiseXOR(F.col(f"bs{k}"))) for k in range(SKETCH)])
-    near = apart * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn"))
-    return both.where((small * 100 >= large * percent) & near).select("a", "b")
+    """Of pairs of classes ``a < b`` those that size and sketch allow to be similar."""
+    left = pairs.join(_prefixed(classes, "a"), "a")
+    right = _prefixed(classes, "b").withColumnRenamed("b", "own")
+    return left.join(right, (F.col("b") == F.col("own")) & _near("a", "b", percent)).select("a", "b")
 
 
 def _similar(pairs, texts, width, percent):
@@ -211,46 +228,59 @@ def _texts_of(pairs, docs, have):
     return found if have is None else have.unionByName(found)
 
 
-def _links(sketch, classes, docs, width, percent):
-    """Pairs of classes that are linked: enough of them to connect all that links connect."""
+def _groups(sketch, classes, docs, width, percent):
+    """``id, label``: the smallest class that links reach, for each class that is linked."""
     pieces = sketch.select("id", F.explode("keys").alias("key"))
-    shared = pieces.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = cut(pieces.join(shared.select("key", "first"), "key").where("id <> first").select("key", "first", "id"))
+    shared = pieces.groupBy("key").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")
+    )
+    shared = cut(shared.where("size > 1"))
     rep = classes.select("id", "rep")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def test(pairs, texts):
-        pairs = cut(_possible(pairs, classes, percent))
         texts = _texts_of(pairs, docs, texts)
         return (cut(_similar(pairs, texts, width, percent)) if texts is not None else pairs.limit(0)), texts
 
-    # the smallest id of a piece is the first of its class, as the whole class has the piece
-    stars = members.groupBy("first", "id").agg(F.count(F.lit(1)).alias("pieces"))
-    stars = stars.join(rep, "id").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links, texts = test(stars, None)
+    # a piece of two documents is a pair
+    duo = shared.where("size = 2").select(F.col("first").alias("id"), "last").join(rep, "id")
+    duo = duo.select(F.col("rep").alias("one"), F.col("last").alias("id")).join(rep, "id").where("one <> rep")
+    # a piece of more documents is a crowd of classes
+    crowd = pieces.join(shared.where("size > 2").select("key"), "key").join(rep, "id")
+    crowd = cut(crowd.select("key", F.col("rep").alias("node")).distinct())
+    sizes = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowd = cut(crowd.join(sizes, "key"))
+    shares = crowd.groupBy("node").agg(F.sum("size").alias("shares"))
+    lead = crowd.join(shares, "node").groupBy("key").agg(
+        F.max_by("node", F.struct("shares", (-F.col("node")).alias("node"))).alias("lead")
+    )
+    crowd = cut(crowd.join(lead, "key"))
+    stars = crowd.where("node <> lead").select(*pair("node", "lead"))
+    pairs = duo.select(*pair("one", "rep")).unionByName(stars).distinct()
+    links, texts = test(cut(_possible(pairs, classes, percent)), None)
 
-    crowd = members.join(rep, "id").where("rep <> first").select("key", "first", F.col("rep").alias("node")).distinct()
-    many = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowd = cut(crowd.join(many, "key"))
-    step = 1
+    step, label = 1, None
+    crowd = crowd.where("size > 2")
     while not crowd.isEmpty():
-        label = _labels(links)
-        named = crowd.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn(
-            "label", F.coalesce("label", "node")
-        )
+        label = _labels(links) if label is None else label
+        named = crowd.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        crowd = cut(named.join(mixed, "key"))
+        named = cut(named.join(mixed, "key"))
         # a node is a centre from the step on at which its hash has enough zeros for the size of the piece
-        steps = F.ceil(F.log(4.0, F.col("size")))
-        when = F.greatest(F.lit(1), steps - F.floor(_zeros(F.xxhash64("node")) / 2))
-        centres = crowd.where(when == step).select("key", F.col("node").alias("c"), F.col("label").alias("c_label"))
-        pairs = crowd.join(centres, "key").where("label <> c_label")
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        steps = F.ceil(F.log(float(1 << STEP_BITS), F.col("size")))
+        when = F.greatest(F.lit(1), steps - F.floor(_zeros(F.xxhash64("node")) / STEP_BITS))
+        full = named.join(_prefixed(classes, "node"), "node")
+        centres = named.where((when == step) & (F.col("node") != F.col("lead"))).select(
+            F.col("key").alias("c_key"), F.col("node").alias("c"), F.col("label").alias("c_label")
+        ).join(_prefixed(classes, "c"), "c")
+        apart = (F.col("key") == F.col("c_key")) & (F.col("label") != F.col("c_label")) & _near("node", "c", percent)
+        pairs = cut(full.join(centres, apart).select(*pair("node", "c")).distinct())
         found, texts = test(pairs, texts)
         if not found.isEmpty():
-            links = links.unionByName(found)
-        crowd = crowd.where(steps > step).drop("label")
+            links, label = links.unionByName(found), None
+        crowd = named.where(steps > step).drop("label")
         step += 1
-    return links
+    return _labels(links) if label is None else label
 
 
 def _zeros(h):
@@ -295,8 +325,7 @@ def similar_groups(docs, width=5, percent=80, id_col="doc_id", text_col="text"):
     classes = cut(
         sketch.drop("keys").join(first, match, "left").select("*", F.coalesce("f_rep", "id").alias("rep")).drop(*first.columns)
     )
-    links = _links(sketch, classes, rows, width, percent)
-    label = _labels(links).withColumnRenamed("id", "rep")
+    label = _groups(sketch, classes, rows, width, percent).withColumnRenamed("id", "rep")
     found = classes.join(label, "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")
     )
@@ -318,4 +347,4 @@ def without_near_copies(docs, width=5, percent=80, id_col="doc_id", text_col="te
     groups = similar_groups(docs, width, percent, id_col, text_col)
     own = F.max(F.col(id_col).eqNullSafe(F.col("component_id")))
     gone = groups.groupBy(F.col(id_col).alias("gone")).agg(own.alias("stays")).where("NOT stays").select("gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")

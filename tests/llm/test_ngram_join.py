@@ -57,8 +57,10 @@ def test_components_equal_brute_force(spark, width, percent):
     assert sorted(map(tuple, got.collect()), key=str) == expected(rows, width, percent)
 
 
-def test_a_large_group_with_several_components(spark):
+@pytest.mark.parametrize("bits", [1, 6])
+def test_a_large_group_with_several_components(spark, monkeypatch, bits):
     """Documents that share pieces without being similar: all pairs have to be looked at."""
+    monkeypatch.setattr(ngram_join, "STEP_BITS", bits)
     base = prose(9, 60, 10**6).split(" ")
     texts = []
     for k in range(60):  # each changes one of few places, some of them two or three
