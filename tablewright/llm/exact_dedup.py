@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tablewright.plans.lineage import cut
 
 FAN = 8
+FEW_IDS = 2_000_000  # dropped ids up to which a counted table of them goes to every task (16 MB)
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -93,9 +94,12 @@ def without_copies(docs, id_col="doc_id", text_col="text", fan=FAN):
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(digests(docs, id_col, text_col))
-    stay = cut(decide(rows, id_col, parts, fan).where("kept").select(F.col(id_col).alias("id"), "text_sha256"))
+    judged = cut(decide(rows, id_col, parts, fan).select(F.col(id_col).alias("id"), "kept", "text_sha256"))
     if rows.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty():
-        return docs.join(stay, docs[id_col] == stay["id"], "left_semi")
+        gone = cut(judged.where("NOT kept").select("id"))
+        gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
+        return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    stay = judged.where("kept").drop("kept")
     # some ids repeat or are missing: rows are told apart by their text, too
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     whole = docs.select(
