@@ -56,11 +56,13 @@ class ItemIndex:
         self.length = np.zeros(len(ids), np.int64)
         for first, data, at in chunks(pa.array(texts, pa.string())):
             row, _, _, code = words(data, at)
+            cuts = np.searchsorted(row, np.arange(len(at)))
             for i in range(len(at) - 1):
-                own = code[row == i]
+                own = code[cuts[i] : cuts[i + 1]]
                 self.length[first + i] = len(own)
                 w = min(width, len(own))
                 self.codes.append(shingles(np.zeros(len(own), np.int64), own, w, 1)[2] if w else own)
+        self.size = np.array([len(c) for c in self.codes], np.int64)
         for w in range(1, width + 1):
             items = [i for i in range(len(ids)) if min(width, self.length[i]) == w]
             if items:
@@ -94,7 +96,7 @@ class ItemIndex:
             low = np.searchsorted(known, value[hit])
             count = np.searchsorted(known, value[hit], side="right") - low
             of = item[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            size = np.array([len(c) for c in self.codes])[of]
+            size = self.size[of]
             at = np.repeat(hit, count)
             # one task for each text and window size: the places where windows may lie
             keys = np.unique(np.stack([at_row[at], size, at]), axis=1)
