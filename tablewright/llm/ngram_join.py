@@ -52,9 +52,7 @@ class Bands:
 
     def cover(self, largest):
         """Makes the bands up to a size; ``home[n]`` and ``zone[n]`` number the schemes of size n."""
-        if largest < len(self.home):
-            return
-        while self.low <= largest:
+        while self.low <= largest:  # the arrays reach beyond ``low``, but are filled below it only
             after = max(self.low + 1, int(self.low * self.growth))
             while -(-self.percent * after // 100) <= self.zone_end:
                 after += 1

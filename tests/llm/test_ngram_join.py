@@ -104,6 +104,33 @@ def test_every_similar_pair_shares_a_piece():
                     assert keys[a] & keys[b], (percent, len(sets[a]), len(sets[b]))
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90, 97])
+def test_bands_do_not_depend_on_the_order_of_sizes(percent):
+    """A task covers the largest set of each chunk in turn; all sizes up to it need their bands."""
+    whole = ngram_join.Bands(percent)
+    whole.cover(3000)
+    for sizes in ([2000, 3000], [1, 7, 90, 2000, 2400, 2700, 3000], range(1, 3001, 37)):
+        bands = ngram_join.Bands(percent)
+        for size in sizes:
+            bands.cover(size)
+            assert (bands.home[1 : size + 1] >= 0).all()
+        bands.cover(3000)
+        assert np.array_equal(bands.home[:3001], whole.home[:3001]) and np.array_equal(bands.zone[:3001], whole.zone[:3001])
+        assert bands.schemes == whole.schemes
+
+
+def test_components_with_growing_sizes_in_small_chunks(spark, monkeypatch):
+    """One task whose chunks bring larger and larger sets."""
+    monkeypatch.setattr(ngram_join, "chunks", lambda texts: chunks(texts, 2000))
+    texts = []
+    for k, size in enumerate([2000, 2300, 2450, 2600, 2700, 3000, 3400, 3590, 5000]):
+        one = prose(50 + k, size, 10**6)
+        texts += [one, edited(one, k, size // 60)]
+    rows = list(enumerate(texts))
+    got = ngram_join.similar_groups(documents(spark, texts).coalesce(1), 3, 90)
+    assert sorted(map(tuple, got.collect()), key=str) == expected(rows, 3, 90)
+
+
 def test_words_and_shingles_equal_plain_python():
     texts = [*ODD, "A\x0bB\x0cc\x85d\xa0e", "x", None]
     for size in (7, 1 << 20):
