@@ -33,16 +33,21 @@ def unescape(c):
     return F.regexp_replace(c, "(?s)\\\\(.)", "$1")
 
 
+def _key(tree):
+    """A tree id to join by: plain equality of structs holds for NULL fields, too."""
+    return F.struct(F.col(tree).alias("id")).alias("tree")
+
+
 def reply_paths(nodes, tree, node, parent, score):
     """``tree, leaf, node, depth, path_score``: a row for each message of each root-to-leaf path.
 
     A message whose parent is NULL or unknown is a root; ``depth`` counts from
     the root, from 0.  ``path_score`` is the mean score of the path (NULL
-    counts as 0).  Node ids are unique in a tree; messages in a cycle of
-    replies hang from no root and are left out.
+    counts as 0).  Messages without a tree id are one tree.  Node ids are unique
+    in a tree; messages in a cycle of replies hang from no root and are left out.
     """
     base = nodes.select(
-        F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"),
+        _key(tree), F.col(node).alias("node"), F.col(parent).alias("parent"),
         F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"),
     )
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
@@ -72,18 +77,19 @@ def reply_paths(nodes, tree, node, parent, score):
     scored = chain.join(base.select("tree", "node", "score"), ["tree", "node"])
     whole = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"), F.max("up").alias("length"))
     return scored.join(whole, ["tree", "leaf"]).select(
-        "tree", "leaf", "node", (F.col("length") - F.col("up")).alias("depth"), "path_score"
+        F.col("tree.id").alias("tree"), "leaf", "node", (F.col("length") - F.col("up")).alias("depth"), "path_score"
     )
 
 
 def best_paths(paths, best=None):
     """Adds ``rank`` of each path in its tree, by score, then leaf; keeps the first ``best`` if given."""
+    paths = paths.withColumn("tree", _key("tree"))
     ends = paths.where("node = leaf").select("tree", "leaf", "path_score")
     order = W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")
     ranked = ends.select("tree", "leaf", F.row_number().over(order).alias("rank"))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    return paths.join(ranked, ["tree", "leaf"])
+    return paths.join(ranked, ["tree", "leaf"]).withColumn("tree", F.col("tree.id"))
 
 
 def format_paths(paths, messages, tree, node, role, text):
@@ -93,11 +99,11 @@ def format_paths(paths, messages, tree, node, role, text):
     one for each assistant message, covering its escaped text alone.
     """
     said = messages.select(
-        F.col(tree).alias("tree"), F.col(node).alias("node"), escape_role(F.col(role)).alias("role"),
+        _key(tree), F.col(node).alias("node"), escape_role(F.col(role)).alias("role"),
         escape(F.col(text)).alias("text"),
     )
     head = F.concat(F.lit(START), F.col("role"), F.lit("\n"))
-    pieces = paths.join(said, ["tree", "node"]).select(
+    pieces = paths.withColumn("tree", _key("tree")).join(said, ["tree", "node"]).select(
         "tree", "leaf", "rank", "depth", head.alias("head"), "text",
         F.concat(head, F.col("text"), F.lit(END + "\n")).alias("piece"), (F.col("role") == "assistant").alias("learn"),
     )
@@ -108,7 +114,7 @@ def format_paths(paths, messages, tree, node, role, text):
         F.sort_array(F.collect_list(F.struct("depth", "piece"))).alias("pieces"),
         F.sort_array(F.collect_list(F.when(F.col("learn"), span))).alias("loss_spans"),
     )
-    return rows.select("tree", "leaf", "rank", F.array_join(F.col("pieces.piece"), "").alias("formatted"), "loss_spans")
+    return rows.select(F.col("tree.id").alias("tree"), "leaf", "rank", F.array_join(F.col("pieces.piece"), "").alias("formatted"), "loss_spans")
 
 
 def threads(conversations, conv="conv_id", turn="turn", role="role", text="text"):
@@ -126,8 +132,8 @@ def threads(conversations, conv="conv_id", turn="turn", role="role", text="text"
 def format_trees(messages, tree, node, parent, role, text, score, best=1):
     """The ``best`` paths of each tree (all if None) as formatted conversations.
 
-    Empty table: no rows.  NULL roles and texts are empty; a NULL tree id is a
-    tree of its own only if it is filled before.  Extra columns are ignored.
+    Empty table: no rows.  NULL roles and texts are empty; messages whose tree
+    id is NULL are one tree, whose id is NULL.  Extra columns are ignored.
     """
     paths = reply_paths(messages, tree, node, parent, score)
     return format_paths(best_paths(paths, best), messages, tree, node, role, text)

@@ -1,9 +1,12 @@
 import random
 
+import duckdb
 from cases import ODD
 from pyspark.sql import functions as F
 
 from tablewright.llm import chat
+from tablewright.llm.queries import ORACLES, QUERIES
+from workload.check import compare
 
 
 def test_escape_reverses_and_hides_control_strings(spark):
@@ -70,6 +73,31 @@ def test_reply_tree_paths(spark):
     assert every.count() == len(want)
 
 
+def test_conversation_without_an_id(spark, tmp_path):
+    """Rows whose conv_id is NULL are one conversation, as in the SQL."""
+    rows = [(c, t, "assistant" if t % 2 else "user", "c%s t%d" % (c, t)) for c in (None, 1, 2) for t in range(5)]
+    rows += [(None, 5, None, "no role"), (None, 6, "assistant", None), (None, 6, "assistant", "again")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    done = QUERIES["op3_chat_formatting"](spark, str(tmp_path))
+    got = [tuple(r) for r in done.collect()]
+    assert sorted(((r[0], r[1]) for r in got), key=str) == [(-1, 2), (1, 5), (2, 5), (None, 8)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    res = con.execute(ORACLES["op3_chat_formatting"])
+    assert compare(done.columns, got, [c[0] for c in res.description], res.fetchall()) == ""
+
+
+def test_paths_of_a_tree_without_an_id(spark):
+    rows = [(c, n, p, "user", "n%d" % n, 1.0) for c in (None, 1) for n, p in ((0, None), (1, 0), (2, 1), (3, 1))]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    paths = chat.reply_paths(df, "tree", "node", "parent", "score")
+    assert paths.count() == 12 and paths.where("tree IS NULL").count() == 6
+    assert chat.best_paths(paths).where("tree IS NULL").count() == 6
+    every = chat.format_trees(df, "tree", "node", "parent", "role", "text", "score", best=None)
+    assert sorted(((r.tree, r.leaf) for r in every.collect()), key=str) == [(1, 2), (1, 3), (None, 2), (None, 3)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_trees(chat.threads(df), "conv_id", "node", "parent", "role", "text", "score").count() == 0
