@@ -5,8 +5,13 @@ outside links; lines of menus, headers, footers, sidebars, notices, adverts,
 forms and comments weigh nothing, and each such box leaves a gap of empty lines.
 Weights are summed over windows of ``WIDTH`` lines.  Where the sums rise from
 nothing, and reach ``THRESHOLD`` before they fall to nothing again, the text
-surges; where they do, it dives; the lines between are kept.  If the page marks
-its article, all other lines are empty and any text in it is a surge.
+surges; where they do, it dives; the lines between are kept.  A run of lines
+that does not reach it is kept if only boxes in the flow of the text (adverts,
+asides, forms, marked articles, ...), not menus, headers, footers or comments,
+part it from one that does.  Text that the page marks as its article counts twice, and its links
+once; runs end where the mark does, and a marked run is joined to the next
+marked one if nothing but boxes lies between.  If no run reaches the threshold,
+the heaviest is kept.
 """
 
 import html
@@ -42,6 +47,15 @@ BOX_WORDS = set(
     "pagination pager copyright masthead topbar".split()
 )
 INSIDE = {"article", "main"}
+# boxes at which the text of a page ends; others interrupt it
+END_BOXES = {"nav", "footer", "header", "menu", "head"}
+END_ROLES = {"navigation", "banner", "contentinfo", "menu", "menubar"}
+END_WORDS = set(
+    "header menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus copyright "
+    "masthead topbar toolbar pagination pager".split()
+)
+# what a line is: text outside and inside the article; lines of a gap
+PAGE, ARTICLE, GAP, END, MARK = range(5)
 
 
 def _box(name, attributes, in_article):
@@ -68,8 +82,18 @@ def _box(name, attributes, in_article):
     return bool(words & BOX_WORDS) or "header" in words and not in_article
 
 
+def _gap(name, attributes):
+    """Lines in place of a box."""
+    ends = name in END_BOXES
+    for key, *value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(value).lower()
+        ends |= key == "role" and value in END_ROLES
+        ends |= key in ("class", "id") and bool(END_WORDS.intersection(re.split(r"[\s_-]+", value)))
+    return [("", 0, END if ends else GAP)] * WIDTH
+
+
 def lines_of(page):
-    """``(text, weight, in article)`` of each line; a gap is ``("", 0, False)``."""
+    """``(text, weight, kind)`` of each line; those of gaps have no text."""
     lines, piece, weight = [], [], 0
     stack, boxes, articles, links = [], 0, 0, 0
 
@@ -78,7 +102,7 @@ def lines_of(page):
         if piece:
             text = " ".join(html.unescape("".join(piece)).split())
             if text:
-                lines.append((text, weight, articles > 0))
+                lines.append((text, weight, ARTICLE if articles else PAGE))
             piece.clear()
         weight = 0
 
@@ -89,10 +113,12 @@ def lines_of(page):
             if box:
                 boxes -= 1
                 if not boxes and not articles:
-                    lines.extend([("", 0, False)] * WIDTH)
+                    lines.extend(box)
             elif name in INSIDE:
                 flush()
                 articles -= 1
+                if not boxes and not articles:
+                    lines.extend([("", 0, MARK)] * WIDTH)
         del stack[k:]
 
     at, end = 0, len(page)
@@ -131,13 +157,15 @@ def lines_of(page):
                     leave(k)
                     break
             continue
-        box = _box(name, attributes, articles > 0)
+        box = _box(name, attributes, articles > 0) and _gap(name, attributes)
         if box:
             flush()
             if not boxes and not articles:
-                lines.extend([("", 0, False)] * WIDTH)
+                lines.extend(box)
             boxes += 1
         elif name in INSIDE:
+            if not boxes and not articles:
+                lines.extend([("", 0, MARK)] * WIDTH)
             articles += 1
         if box or name in BLOCK and name != "p":
             stack.append((name, box))
@@ -145,12 +173,28 @@ def lines_of(page):
     return lines
 
 
+def _joined(regions, lines):
+    """Groups of regions ``(sum, first, end)`` that belong to one text."""
+    groups, last = [], {}
+    for region in regions:
+        kind = lines[region[1]][2]
+        if kind in last:
+            between = lines[last[kind][-1][2] : region[1]]
+            if kind == ARTICLE:
+                join = not any(text for text, _, _ in between)
+            else:  # what the article holds is judged by itself
+                join = all(own in (GAP, MARK, ARTICLE) for _, _, own in between)
+            if join:
+                last[kind].append(region)
+                continue
+        last[kind] = [region]
+        groups.append(last[kind])
+    return groups
+
+
 def main_text(page, width=WIDTH, threshold=THRESHOLD):
     lines = lines_of(page)
-    if any(inside and text for text, _, inside in lines):
-        weight, threshold = [len(text) if inside else 0 for text, _, inside in lines], 1
-    else:
-        weight = [w for _, w, _ in lines]
+    weight = [w + len(text) if kind == ARTICLE else w for text, w, kind in lines]
     n = len(lines)
     sums = [0] * (n + 1)
     total = 0
@@ -170,11 +214,9 @@ def main_text(page, width=WIDTH, threshold=THRESHOLD):
             first += 1
         regions.append((max(sums[i:j]), first, j))
         i = j
-    kept = [r for r in regions if r[0] >= threshold] or sorted(regions, reverse=True)[:1]
-    inside = threshold == 1
-    return " ".join(
-        text for _, first, j in sorted(kept, key=lambda r: r[1]) for text, _, own in lines[first:j] if text and (own or not inside)
-    )
+    groups = _joined(regions, lines)
+    kept = [g for g in groups if max(g)[0] >= threshold] or sorted(groups, key=max, reverse=True)[:1]
+    return " ".join(text for _, first, j in sorted((r for g in kept for r in g), key=lambda r: r[1]) for text, _, _ in lines[first:j] if text)
 
 
 def extract(pages, id_col="page_id", url_col="url", html_col="html", width=WIDTH, threshold=THRESHOLD):

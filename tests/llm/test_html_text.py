@@ -38,6 +38,39 @@ def test_boxes_without_an_article():
     assert text(page) == LONG.strip()
 
 
+def test_a_teaser_article_does_not_hide_the_text():
+    teaser = "<article class='teaser'><h3><a href='/x'>Other story</a></h3><p>Brief.</p></article>"
+    body = "<h1>Title</h1><div>" + LONG + "</div><div>tiny</div><div>" + LONG + "</div>"
+    want = ("Title " + LONG + "tiny " + LONG).strip()
+    nav, foot = "<nav><a>Home</a></nav>", "<footer>&copy; me</footer>"
+    assert text(nav + teaser + body + foot) == want
+    assert text(nav + body + teaser + foot) == want
+    assert text(nav + body + teaser + "<p>The end.</p>" + foot) == want + " The end."
+    assert text(nav + body + "<aside>" + teaser + "</aside>" + foot) == want
+
+
+def test_the_window_sums_decide_beside_an_article():
+    both = "<div>" + LONG + "</div><article><p>" + LONG + "</p></article>"
+    assert text(both) == (LONG + LONG).strip()
+    assert text(both + "<div>Short.</div>") == LONG + LONG + "Short."  # an article does not end the text around it
+    assert text("<article><p>" + LONG + "</p></article><div>Short.</div>") == LONG.strip()
+    few = "<article><h2>Head</h2><p>A few words, and then a few more words.</p></article>"
+    assert text("<div>Tagline</div>" + few + "<div>Contact</div>") == "Head A few words, and then a few more words."
+    assert text("<div>" + LONG + "</div>" + few) == LONG + "Head A few words, and then a few more words."
+    assert text("<article><p>" + LONG + "</p></article><nav>x</nav><article>Two.</article>") == LONG + "Two."
+
+
+def test_short_text_behind_a_box():
+    ad = "<div class='ad'>Buy " + LONG + "</div>"
+    body = "<p>" + LONG + "</p>"
+    assert text("<nav>Menu</nav><p>Lead.</p>" + ad + body + ad + "<p>More.</p>" + ad + "<p>The end.</p><footer>f</footer>") == (
+        "Lead. " + LONG + "More. The end."
+    )
+    # a footer ends the text, and so do links outside any box
+    assert text(body + "<footer>f</footer><p>Legal.</p>") == LONG.strip()
+    assert text(body + ad + "<div><a>x</a></div>" * 3 + ad + "<p>Legal.</p>") == LONG.strip()
+
+
 def test_odd_markup():
     assert text("") == "" and text("   ") == "" and text("plain &lt;b&gt;  text") == "plain <b> text"
     assert text("<article><p>cut off in a <b>tag <a href=\"x") == 'cut off in a tag <a href="x'
