@@ -29,7 +29,8 @@ def documents(t):
 
 
 def boosted(df):
-    return ml.boosted_classifier(maxIter=5, maxDepth=3).fit(df)
+    """A hundred rounds of trees of depth 3."""
+    return ml.boosted_classifier(maxIter=100, maxDepth=3).fit(df)
 
 
 @query()
@@ -109,13 +110,13 @@ def surrogate(t):
 @query()
 def shapley_values(t):
     df = documents(t)
-    return ex.shapley(boosted(df), df, "doc_id", DOC, ex.background_rows(df, "doc_id", size=20), orders=5)
+    return ex.shapley(boosted(df), df, "doc_id", DOC, ex.background_rows(df, "doc_id"))
 
 
 @query()
 def local_surrogate(t):
     df = documents(t)
-    return ex.local_surrogate(boosted(df), df, "doc_id", DOC, samples=100)
+    return ex.local_surrogate(boosted(df), df, "doc_id", DOC)
 
 
 @query()
@@ -137,17 +138,17 @@ def line_features(t):
 
 @query()
 def forest_importance(t):
-    return ml.forest_importance(line_features(t), LINE, "label", "key", depth=5)
+    return ml.forest_importance(line_features(t), LINE, "label", "key")
 
 
 @query()
 def drop_column_importance(t):
-    return ml.drop_column_importance(line_features(t), LINE, "label", ml.forest_regressor(trees=3, depth=4))
+    return ml.drop_column_importance(line_features(t), LINE, "label", ml.forest_regressor())
 
 
 @query()
 def binarized_variants(t):
-    return ml.binarized_variants(line_features(t), LINE, "label", "l_quantity", ml.forest_regressor(trees=3, depth=4), "key")
+    return ml.binarized_variants(line_features(t), LINE, "label", "l_quantity", ml.forest_regressor(), "key")
 
 
 @query()
