@@ -36,8 +36,9 @@ def benchmark_passages(spark, docs, sf_dir):
 
 
 def token_ids(spark, docs, sf_dir):
-    """Every kept document's ids, and the bytes that they decode to."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Every kept document's ids, their count and digest, and that of the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, ids_col="ids")
 
 
 STAGES = [

@@ -15,6 +15,7 @@ the memory for that is bounded.
 
 import base64
 import hashlib
+import itertools
 from functools import lru_cache
 
 import numpy as np
@@ -250,18 +251,19 @@ def decode_column(df, path, pattern, ids_col="ids", out="decoded"):
     return df.drop(out).mapInArrow(run, schema)
 
 
-def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
+def round_trip(docs, path, pattern, id_col="doc_id", text_col="text", ids_col=None):
     """``<id>, n_tokens, ids_sha256, decoded_sha256, same`` for each row.
 
-    Ids and bytes of a row exist one at a time, so memory is bounded by the
-    longest text.  NULL text is empty: no ids, no bytes.  Repeated rows give
+    With ``ids_col`` the ids (array<int>) are a column of that name at the end,
+    those that the other columns are made from; else ids and bytes of a row exist
+    one at a time, so memory is bounded by the longest text.  NULL text is empty: no ids, no bytes.  Repeated rows give
     repeated results; other columns are ignored.
     """
 
     def run(batches):
         own = tokenizer(path, pattern)
         for batch in batches:
-            counts, written, decoded, same = [], [], [], []
+            counts, written, decoded, same, kept = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for text, ids in zip(texts, own.encode_all(texts)):
                 back = own.decode(ids)
@@ -269,14 +271,19 @@ def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
                 written.append(hashlib.sha256(own.written(ids).encode()).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())
                 same.append(back == text.encode("utf-8"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(written, pa.string()),
-                 pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "same"],
-            )
-
+                if ids_col:
+                    kept.append(pa.array(ids, pa.int32()))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(written, pa.string()),
+                       pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
+            if ids_col:
+                ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], pa.int32()), *kept])))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "same", *([ids_col] if ids_col else [])]
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType.simpleString()
+    last = f", `{ids_col}` array<int>" if ids_col else ""
     return rows.mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
+        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean{last}"
     )

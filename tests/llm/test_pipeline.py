@@ -1,10 +1,13 @@
 """The stages on the smallest tables, each against what a plain program keeps; the queries against their SQL."""
 
+import base64
+import hashlib
 import os
 
 import duckdb
+import public_tokenizers
 import pytest
-from cases import documents
+from cases import ODD, documents
 from test_decontaminate import best_window
 from test_ngram_join import expected as groups
 
@@ -39,6 +42,21 @@ def test_stages(spark, tmp_path):
     assert all(r.same for r in rows["token_ids"].values())
 
 
+def test_last_stage_writes_the_ids(spark):
+    texts = [*ODD, "more than one text, with numbers 12345"]
+    rows = corpus_pipeline.token_ids(spark, documents(spark, texts), FOLDER).collect()
+    assert len(rows) == len(texts)
+    ranks = {}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            ranks[int(rank)] = base64.b64decode(token)
+    for r in rows:
+        back = b"".join(ranks[i] for i in r.ids)
+        assert back == (texts[r.doc_id] or "").encode() and r.n_tokens == len(r.ids) and r.same
+        assert hashlib.sha256(back).hexdigest() == r.decoded_sha256
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
