@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
-    bpe, chat, decontaminate, exact_dedup, html_text, ngram_join, secrets, sharding, toxicity, url_filter,
+    bpe, chat, decontaminate, exact_dedup, html_text, ngram_join, secrets, sharding, simhash, spelling, toxicity, turn_trie,
+    url_filter,
 )
 from tablewright.plans.session import SETTINGS
 
@@ -186,3 +187,100 @@ links AS (
 reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(min(r.y), s.doc_id) AS component_id
 FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)"""
+
+
+@query
+def op11_turn_trie(table):
+    """Conversations rebuilt on the first turns of every twentieth; ties of turn by the digest of role and text."""
+    seqs = turn_trie.sequences(table("conversations"))
+    heads = F.crc32(F.col("id").cast("string").cast("binary")) % 4
+    return turn_trie.trie(turn_trie.spliced(seqs, F.col("id") - F.col("id") % 20, heads, 3))
+
+
+#: the table of CRC-32, and the CRC-32 of a list of bytes
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(
+    list_concat([i::UBIGINT], list_transform(range(8), lambda k: k::UBIGINT)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc(listed):
+    return f"""xor(list_reduce(list_concat([4294967295::UBIGINT], {listed}),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"""
+
+
+ORACLES["op11_turn_trie"] = rf"""
+WITH {_CRC_TABLE},
+said AS (
+  SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, s, ({_crc("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)")} % 4)::BIGINT AS h
+  FROM said, crc),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) AS r
+  FROM hashed a LEFT JOIN said b ON b.conv_id = a.conv_id - a.conv_id % 20),
+prefixes AS (SELECT conv_id, r, unnest(range(len(r) + 1)) AS d FROM rebuilt),
+nodes AS (
+  SELECT d, r[1:d] AS key, min(conv_id) AS conv_id, count(*) AS n,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(r) = d), '') AS ends,
+    CASE WHEN d > 0 THEN len(list_filter(string_split_regex(any_value(r[d][2]), '[\x20\x09-\x0D]+'), lambda w: w <> '')) ELSE 0 END AS words
+  FROM prefixes GROUP BY d, r[1:d]),
+over AS (SELECT n.*, unnest(range(d + 1)) AS top FROM nodes n),
+sums AS (
+  SELECT top, key[1:top] AS up, sum((n - 1) * words)::BIGINT AS saved, count(*) FILTER (d = top + 1) AS children
+  FROM over GROUP BY ALL),
+leaves AS (
+  SELECT o.top, o.key[1:o.top] AS up, count(*) AS leaves
+  FROM over o JOIN sums s ON s.top = o.d AND s.up = o.key WHERE s.children = 0 GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, s.children AS n_children,
+  l.leaves AS n_leaves, s.saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.top = n.d AND s.up = n.key JOIN leaves l ON l.top = n.d AND l.up = n.key
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]"""
+
+
+@query
+def op12_simhash(table):
+    return simhash.near_groups(table("documents"), width=3)
+
+
+@query
+def op13_spelling(table):
+    """Runs of letters of all texts, some with a letter struck out, as the contract says."""
+    runs = spelling.word_runs(table("documents"), min_length=7)
+    name = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word"))
+    h = F.crc32(name.cast("binary"))
+    place = (h % F.length("word")).cast("int")
+    struck = F.concat(F.substring("word", F.lit(1), place), F.substring("word", place + 2, F.length("word")))
+    words = runs.select(F.when(h % 31 == 0, struck).otherwise(F.col("word")).alias("word"))
+    return spelling.variant_forms(spelling.vocabulary(words, min_length=7, min_count=2), factor=10)
+
+
+ORACLES["op13_spelling"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS c FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT w, c, {_crc('''flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda x:
+      CASE WHEN ord(x) < 128 THEN [ord(x)::UBIGINT] ELSE [(192 | (ord(x) >> 6))::UBIGINT, (128 | (ord(x) & 63))::UBIGINT] END))''')}::BIGINT AS h
+  FROM counted, crc),
+struck AS (
+  SELECT c, CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+vocab AS (SELECT word, sum(c)::BIGINT AS n FROM struck WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+gaps AS (
+  SELECT word, n, g, left(word, g) || substr(word, g + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS g FROM vocab)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM gaps a JOIN gaps b ON a.g = b.g AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM gaps a JOIN vocab v ON a.rest = v.word
+  UNION SELECT v.word, a.word, a.n FROM gaps a JOIN vocab v ON a.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM near GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * v.n THEN b.near END AS form,
+    CASE WHEN b.near_n >= 10 * v.n THEN b.near_n END AS form_n
+  FROM vocab v LEFT JOIN best b ON b.word = v.word),
+walk AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT w.word, w.next, f.form FROM walk w JOIN forms f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM forms f JOIN walk w ON w.word = f.word AND w.next IS NULL"""
