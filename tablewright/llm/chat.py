@@ -16,7 +16,7 @@ from pyspark.sql import Window as W, functions as F
 from tablewright.plans.lineage import cut
 
 START, END = "<|im_start|>", "<|im_end|>"
-MESSAGE = "(?s)<\\|im_start\\|>((?:[^\\\\\\n]|\\\\.)*)\\n(.*?)<\\|im_end\\|>\\n"
+MESSAGE = "(?s)<\\|im_start\\|>((?:[^\\\\\\n]|\\\\.)*+)\\n(.*?)<\\|im_end\\|>\\n"
 
 
 def escape(c):

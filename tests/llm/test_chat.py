@@ -101,3 +101,13 @@ def test_paths_of_a_tree_without_an_id(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_trees(chat.threads(df), "conv_id", "node", "parent", "role", "text", "score").count() == 0
+
+
+def test_long_roles_and_texts_are_read_back(spark):
+    role = "r\\\n<|x" * 100_000
+    rows = [(1, 0, "x" * 5000, "a", 1), (2, 0, role, "b\\" * 300_000, 1), (2, 1, "assistant", "c", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node int")
+    done = chat.format_trees(chat.threads(df), "conv_id", "node", "parent", "role", "text", "score", best=1)
+    got = {r.tree: r for r in chat.read_back(done).collect()}
+    assert got[1].turns == ["x" * 5000 + "\na\n"]
+    assert got[2].turns == [role + "\n" + "b\\" * 300_000 + "\n", "assistant\nc\n"] and got[2].masked == "c"
