@@ -9,7 +9,9 @@ D pieces, each with the XOR of its n-grams' hashes.  Two similar documents have
 the same n-grams in at least one piece, so a join on the piece finds the pair,
 without exception.  Neighbouring bands meet in a zone around their boundary.
 Pairs whose whole sketches are too far apart are dropped; the texts of the rest
-are compared exactly.
+are compared exactly.  Sketches of 1,024 bits are compared inside the join; a
+large set, whose allowed difference would fill them, has a wide sketch, too, of
+at least four bits for each n-gram that a similar set may lack or have more.
 
 A piece that many documents share is not expanded into pairs: all are compared
 with the one first that shares most with others, usually the text the others
@@ -123,8 +125,21 @@ def _pieces_of(row, value, count, scheme_of, schemes, seed):
     return row, key
 
 
+def _wide_words(n, percent):
+    """64-bit words of the wide sketch of a set of size ``n``, a power of two; 0 if the usual one will do."""
+    bits = 4 * (100 - percent) * 2 * n // (100 + percent)
+    return 0 if bits <= 64 * SKETCH else 1 << (bits - 1).bit_length() - 6
+
+
+def _wide_sketch(value, words):
+    out = np.zeros(words, np.uint64)
+    place = ((value >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+    np.bitwise_xor.at(out, place, np.uint64(1) << (value & np.uint64(63)))
+    return out
+
+
 def sketches(docs, width, percent, id_col="id", text_col="text"):
-    """``id, n, h1, h2, s0.., keys``: set size, hash of the set, whole sketch, piece keys."""
+    """``id, n, h1, h2, s0.., wide, keys``: set size, hash of the set, whole sketches, piece keys."""
 
     def run(batches):
         bands = Bands(percent)
@@ -148,14 +163,22 @@ def sketches(docs, width, percent, id_col="id", text_col="text"):
                     flip = np.uint64(1) << (value & np.uint64(63))
                     word = ((value >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64)
                     np.bitwise_xor.at(whole, (2 + word, row), flip)
+                wide, upto = [np.zeros(0, np.uint64)], np.zeros(n + 1, np.int32)
+                starts = np.concatenate([[0], np.cumsum(count)])
+                for i in range(n):
+                    size = _wide_words(int(count[i]), percent)
+                    if size:
+                        wide.append(_wide_sketch(value[starts[i] : starts[i + 1]], size))
+                    upto[i + 1] = upto[i] + size
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, n), pa.array(count.astype(np.int64)), *[pa.array(w.view(np.int64)) for w in whole],
+                     pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(wide).view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))],
                     names,
                 )
 
-    names = ["id", "n", "h1", "h2", *[f"s{k}" for k in range(SKETCH)], "keys"]
-    kinds = ["long"] * (4 + SKETCH) + ["array<long>"]
+    names = ["id", "n", "h1", "h2", *[f"s{k}" for k in range(SKETCH)], "wide", "keys"]
+    kinds = ["long"] * (4 + SKETCH) + ["array<long>"] * 2
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
 
@@ -182,6 +205,31 @@ def _possible(pairs, classes, percent):
     return left.join(right, (F.col("b") == F.col("own")) & _near("a", "b", percent)).select("a", "b")
 
 
+def _widely_possible(pairs, classes, percent):
+    """Of ``pairs (a, b)`` those that wide sketches allow to be similar; sets without one pass."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = [c.to_numpy() for c in batch.columns[2:4]]
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (w.values.to_numpy().view(np.uint64) if w.is_valid and len(w.values) else None for w in (x, y))
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                # the larger one is folded: bits of equal place modulo the smaller length are added up
+                words = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(w.reshape(-1, words), axis=0) for w in (x, y))
+                apart = int(np.bitwise_count(x ^ y).sum())
+                keep.append(apart * (100 + percent) <= (100 - percent) * int(sizes[0][i] + sizes[1][i]))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    named = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("wide").alias("w" + x))
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
+    return both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
 def _similar(pairs, texts, width, percent):
     """Of ``pairs (a, b)`` those whose texts are similar, compared exactly."""
 
@@ -228,26 +276,24 @@ def _texts_of(pairs, docs, have):
 
 def _groups(sketch, classes, docs, width, percent):
     """``id, label``: the smallest class that links reach, for each class that is linked."""
-    pieces = sketch.select("id", F.explode("keys").alias("key"))
+    copies = cut(classes.where("id <> rep").select("id"))
+    copies = F.broadcast(copies) if copies.count() <= FEW_IDS else copies
+    pieces = sketch.join(copies, "id", "left_anti").select("id", F.explode("keys").alias("key"))
     shared = pieces.groupBy("key").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")
     )
     shared = cut(shared.where("size > 1"))
-    rep = classes.select("id", "rep")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def test(pairs, texts):
+        pairs = cut(_widely_possible(pairs, classes, percent))
         texts = _texts_of(pairs, docs, texts)
         return (cut(_similar(pairs, texts, width, percent)) if texts is not None else pairs.limit(0)), texts
 
-    # a piece of two documents is a pair
-    duo = shared.where("size = 2").select(F.col("first").alias("id"), "last").join(rep, "id")
-    duo = duo.select(F.col("rep").alias("one"), F.col("last").alias("id")).join(rep, "id").where("one <> rep")
-    # a piece of more documents is a crowd of classes
-    crowd = pieces.join(shared.where("size > 2").select("key"), "key").join(rep, "id")
-    crowd = cut(crowd.select("key", F.col("rep").alias("node")).distinct())
-    sizes = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowd = cut(crowd.join(sizes, "key"))
+    # a piece of two classes is a pair; one of more is a crowd
+    duo = shared.where("size = 2 AND first <> last").select(F.col("first").alias("one"), F.col("last").alias("rep"))
+    crowd = pieces.join(shared.where("size > 2").select("key", "size"), "key")
+    crowd = cut(crowd.select("key", F.col("id").alias("node"), "size").distinct())
     shares = crowd.groupBy("node").agg(F.sum("size").alias("shares"))
     lead = crowd.join(shares, "node").groupBy("key").agg(
         F.max_by("node", F.struct("shares", (-F.col("node")).alias("node"))).alias("lead")

@@ -162,3 +162,20 @@ def test_stage_keeps_one_of_each_group(spark):
 def test_empty_table(spark):
     assert ngram_join.similar_groups(documents(spark, [])).count() == 0
     assert ngram_join.without_near_copies(documents(spark, ["", None])).count() == 2
+
+
+def test_wide_sketches_bound_the_difference_and_fold():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (1200, 3000, 9000):
+        base = r.integers(0, 2**63, n, dtype=np.uint64)
+        for changed in (0, 10, n // 9, n // 2, n):
+            other = np.concatenate([base[changed:], r.integers(0, 2**63, changed + n // 5, dtype=np.uint64)])
+            x, y = (ngram_join._wide_sketch(v, ngram_join._wide_words(len(v), 80)) for v in (base, other))
+            assert len(x) * 64 >= 4 * 2 * n * 20 // 180
+            words = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(w.reshape(-1, words), axis=0) for w in (x, y))
+            assert int(np.bitwise_count(x ^ y).sum()) <= 2 * changed + n // 5
+            assert (ngram_join._wide_sketch(base, words) == x).all()
+    assert ngram_join._wide_words(1000, 80) == 0
