@@ -40,22 +40,66 @@ def test_bootstrap_equals_direct_resampling(spark, partitions):
     assert (ci.low, ci.high) == (pytest.approx(np.median(v) - diffs[39]), pytest.approx(np.median(v) - diffs[1]))
 
 
-@pytest.mark.parametrize("slices", [4, 256])
-def test_permutation_equals_direct_shuffling(spark, slices):
+def mixed(i, seed, key):
+    """Draw i of a row, in plain integers."""
+    def mix(x):
+        x ^= x >> 16
+        x = x * 0x85EBCA6B % 2**32
+        x ^= x >> 13
+        x = x * 0xC2B2AE35 % 2**32
+        return x ^ x >> 16
+
+    word = hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
+    return mix((mix(int(word[:8], 16) ^ i * 0x9E3779B1 % 2**32) + int(word[8:16], 16)) % 2**32)
+
+
+@pytest.mark.parametrize("slices, n", [(4, 60), (32, 60), (32, 7), (1, 300)])
+def test_permutation_equals_direct_shuffling(spark, slices, n):
     rnd = np.random.default_rng(1)
-    rows = [(i, "A" if i % 3 == 0 else "B", float(np.round(rnd.normal(i % 3, 2), 2))) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, g string, v double")
+    rows = [(i, "A" if i % 3 == 0 else "B", float(np.round(rnd.normal(i % 3, 2), 2))) for i in range(n)]
+    more = [(1000, "C", 1.0), (1001, "A", None), (1002, None, 2.0)]
+    df = spark.createDataFrame(rows + more, "id long, g string, v double")
     got = {r.iter: r.difference for r in st.permutation_differences(df, "g", "A", "B", "v", "id", 30, slices=slices).collect()}
     n_a = sum(g == "A" for _, g, _ in rows)
     total = sum(v for *_, v in rows)
     for b in range(1, 31):
-        first = sorted(rows, key=lambda r: (u(7, b, r[0]), r[0]))[:n_a]
+        first = sorted(rows, key=lambda r: (mixed(b, 7, r[0]), r[0]))[:n_a]
         s = sum(v for *_, v in first)
-        assert got[b] == pytest.approx((total - s) / (60 - n_a) - s / n_a)
+        assert got[b] == pytest.approx((total - s) / (n - n_a) - s / n_a)
     test = st.permutation_test(df, "g", "A", "B", "v", "id", shuffles=30).first()
     assert test.p_value == pytest.approx(np.mean([d >= test.difference for d in got.values()]))
 
 
+def test_permutation_without_a_second_group(spark):
+    df = spark.createDataFrame([(1, "A", 1.0), (2, "A", 2.0)], "id long, g string, v double")
+    assert [tuple(r) for r in st.permutation_differences(df, "g", "A", "B", "v", "id", 2).orderBy("iter").collect()] == [(1, None), (2, None)]
+    assert st.permutation_test(df, "g", "A", "B", "v", "id", shuffles=2).first().p_value is None
+
+
+@pytest.mark.parametrize("n", [50, 2500])
+def test_bootstrap_sums_equal_direct_resampling(spark, n):
+    rnd = np.random.default_rng(3)
+    x, y = rnd.normal(size=n), rnd.normal(size=n)
+    rows = [(i * 3, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(-1, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").repartition(5)
+    got = {r.iter: r for r in st.bootstrap_sums(df, {"sx": "x", "sxy": "x * y"}, "id", 12).collect()}
+    for b in range(1, 13):
+        idx = [mixed(b, 7, j) * n >> 32 for j in range(n)]
+        assert (got[b].n, got[b].sx, got[b].sxy) == (n, pytest.approx(x[idx].sum()), pytest.approx((x * y)[idx].sum()))
+
+
+def test_interval_of_a_correlation(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=200)
+    y = x + rnd.normal(size=200)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    ci = st.bootstrap_statistic_interval(df, st.MOMENTS, st.CORRELATION, "id", 200).first()
+    drawn = [[mixed(b, 7, j) * 200 >> 32 for j in range(200)] for b in range(1, 201)]
+    whole = np.corrcoef(x, y)[0, 1]
+    diffs = sorted(np.corrcoef(x[i], y[i])[0, 1] - whole for i in drawn)
+    assert (ci.estimate, ci.low, ci.high) == pytest.approx((whole, whole - diffs[195], whole - diffs[5]))
+
+
 def test_chi_squared_with_an_empty_cell(spark):
     rows = [("a", "x")] * 10 + [("a", "y")] * 5 + [("b", "x")] * 7
     got = st.chi_squared(spark.createDataFrame(rows, "r string, c string"), "r", "c").first()

@@ -17,11 +17,8 @@ def calls(monkeypatch):
         def fit(self, df):
             return self
 
-    for name in ("documents", "line_features"):
-        monkeypatch.setattr(learning, name, lambda t: None)
+    monkeypatch.setattr(learning, "documents", lambda t: None)
     spy(learning.ml, "boosted_classifier", Model())
-    for name in ("forest_regressor", "forest_importance", "drop_column_importance", "binarized_variants"):
-        spy(learning.ml, name)
     for name in ("permutation_importance", "partial_dependence", "shapley", "background_rows", "local_surrogate"):
         spy(learning.ex, name)
     return seen
@@ -34,17 +31,11 @@ def test_boosted_model_has_a_hundred_rounds(calls):
 
 
 def test_explanations_take_the_default_samples(calls):
-    learning.shapley_values(None)
+    learning.sampled_shapley(None)
     learning.local_surrogate(None)
     assert calls["shapley"] == calls["background_rows"] == calls["local_surrogate"] == [{}]
 
 
-def test_forests_are_whole(calls):
-    for query in (learning.forest_importance, learning.drop_column_importance, learning.binarized_variants):
-        query(None)
-    assert calls["forest_importance"] == [{}] and calls["forest_regressor"] == [{}] * 2
-
-
 def test_influencers_run_to_convergence(monkeypatch):
     seen = []
     monkeypatch.setattr(numbers, "traded", lambda t: (None, None))

@@ -1,13 +1,14 @@
-"""Models and their explanation.  Rows only: fitted models have no SQL."""
+"""Models and their explanation; fitted models have no SQL, those that SQL can repeat have."""
 
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import Window as W, functions as F
 
 from tablewright.functions import text as tx
 from tablewright.functions.sampling import hash_uniform
-from tablewright.operators import anomaly as an, explain as ex, models as ml
+from tablewright.operators import anomaly as an, explain as ex, forest as fo, models as ml
 from tablewright.plans.lineage import cut
 from workload.numbers import order_features
-from workload.registry import query
+from workload.registry import query, rounded
 from workload.tables import scratch
 
 DOC = ["n_chars", "n_words", "n_distinct", "mean_word", "n_lines"]
@@ -109,10 +110,72 @@ def surrogate(t):
 
 @query()
 def shapley_values(t):
+    """Exact values of the raw score of the boosted trees."""
+    df = documents(t)
+    return ex.tree_shapley(ex.tree_arrays(boosted(df)), df, "doc_id", DOC)
+
+
+@query()
+def sampled_shapley(t):
+    """The estimate for any model, here of the probability."""
     df = documents(t)
     return ex.shapley(boosted(df), df, "doc_id", DOC, ex.background_rows(df, "doc_id"))
 
 
+CUT = "o_custkey <= 700, month(o_orderdate) <= 6, day(o_orderdate) <= 15".split(", ")
+PARTS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+
+
+def known(s, i, own, share):
+    return own if s[i] else share
+
+
+REACH = ", ".join(
+    f"""{known(s, 0, 'a', 'za')} * ({known(s, 1, 'b', 'zb')} * vab + (1 - {known(s, 1, 'b', 'zb')}) * va)
+      + (1 - {known(s, 0, 'a', 'za')}) * ({known(s, 2, 'c', 'zc')} * vc + (1 - {known(s, 2, 'c', 'zc')}) * v) AS f{''.join(map(str, s))}"""
+    for s in PARTS
+)
+
+
+def shares(i):
+    """Shapley's weights of the subsets without feature ``i`` of three."""
+    terms = []
+    for s in PARTS:
+        if not s[i]:
+            more = s[:i] + (1,) + s[i + 1 :]
+            terms.append(f"(f{''.join(map(str, more))} - f{''.join(map(str, s))}) / {6.0 if sum(s) == 1 else 3.0}")
+    return " + ".join(terms)
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS row, o_totalprice AS y, ({CUT[0]})::INT AS a, ({CUT[1]})::INT AS b, ({CUT[2]})::INT AS c FROM orders),
+    t AS (SELECT avg(a) AS za, sum(b) FILTER (a = 1) / count(*) FILTER (a = 1) AS zb, sum(c) FILTER (a = 0) / count(*) FILTER (a = 0) AS zc,
+      avg(y) FILTER (a = 1 AND b = 1) AS vab, avg(y) FILTER (a = 1 AND b = 0) AS va, avg(y) FILTER (a = 0 AND c = 1) AS vc,
+      avg(y) FILTER (a = 0 AND c = 0) AS v FROM o),
+    f AS (SELECT row, {REACH} FROM o, t),
+    w AS (SELECT row, 'customer' AS feature, {shares(0)} AS value, f000 AS base FROM f UNION ALL SELECT row, 'month', {shares(1)}, f000 FROM f
+      UNION ALL SELECT row, 'day', {shares(2)}, f000 FROM f)
+    SELECT row, feature, round(value, 2) + 0 AS value, round(base, 2) AS base FROM w"""
+)
+def tree_attribution(t):
+    """A tree with given cuts, its leaves the mean prices: first by customer, then by month or by day."""
+    df = t.orders.select(
+        "o_orderkey", F.col("o_totalprice").alias("y"), F.col("o_custkey").cast("double").alias("customer"),
+        F.month("o_orderdate").cast("double").alias("month"), F.dayofmonth("o_orderdate").cast("double").alias("day"),
+    )
+    side = (F.col("customer") <= 700).cast("int")
+    under = F.when(side == 1, F.col("month") <= 6).otherwise(F.col("day") <= 15).cast("int")
+    leaf = {(r[0], r[1]): (r[2], r[3]) for r in df.groupBy(side, under).agg(F.avg("y"), F.count(F.lit(1))).collect()}  # four rows
+    mean, size = [[leaf[k][i] for k in ((1, 1), (1, 0), (0, 1), (0, 0))] for i in (0, 1)]
+    cover = [sum(size), size[0] + size[1], size[2] + size[3], *size]
+    tree = (
+        1.0, np.array([0, 1, 2, -1, -1, -1, -1]), np.array([700.0, 6.0, 15.0, 0, 0, 0, 0]), np.array([1, 3, 5, -1, -1, -1, -1]),
+        np.array([2, 4, 6, -1, -1, -1, -1]), np.array([0.0, 0, 0, *mean]), np.array(cover, float),
+    )
+    names = ["customer", "month", "day"]
+    return rounded(ex.tree_shapley([tree], ml.assemble(df, names), "o_orderkey", names), "value", "base", digits=2)
+
+
 @query()
 def local_surrogate(t):
     df = documents(t)
@@ -138,17 +201,20 @@ def line_features(t):
 
 @query()
 def forest_importance(t):
-    return ml.forest_importance(line_features(t), LINE, "label", "key")
+    """Importances of ten full trees, a column of noise among the features."""
+    df = cut(ml.add_probe(line_features(t), "key"))
+    found = fo.importances(fo.forests(df, "key", {"all": [*LINE, "probe"]}, "label"))
+    return found.select("feature", "importance", F.row_number().over(W.orderBy(F.desc("importance"), "feature")).alias("rank"))
 
 
 @query()
 def drop_column_importance(t):
-    return ml.drop_column_importance(line_features(t), LINE, "label", ml.forest_regressor())
+    return fo.drop_column_importance(cut(line_features(t)), "key", LINE, "label")
 
 
 @query()
 def binarized_variants(t):
-    return ml.binarized_variants(line_features(t), LINE, "label", "l_quantity", ml.forest_regressor(), "key")
+    return fo.binarized_variants(line_features(t), "key", LINE, "label", "l_quantity")
 
 
 @query()

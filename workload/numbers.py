@@ -8,7 +8,7 @@ from tablewright.functions import text as tx
 from tablewright.operators import causal as ca, graph as gr, simjoin as sj, stats as st, synth as sy, table as tb
 from tablewright.plans.lineage import cut
 from tablewright.plans.ordering import exact_quantiles
-from workload.registry import query, r, rounded, tok, u
+from workload.registry import mixed, query, r, rounded, tok, u, words
 from workload.texts import doc_tokens, sets_sql
 
 # -- statistics -------------------------------------------------------------
@@ -95,20 +95,53 @@ def bootstrap_interval(t):
     return rounded(st.bootstrap_interval(t.customer, "c_acctbal", "c_custkey"), "estimate", "low", "high")
 
 
-@query(
-    f"""WITH e AS (SELECT event_id AS k, value AS v, event_type = 'view' AS a FROM events WHERE event_type IN ('view', 'click')),
+PERMUTED = f"""WITH e AS (SELECT event_id AS k, value AS v, event_type = 'view' AS a, {words(7, 'event_id')} FROM events
+    WHERE event_type IN ('view', 'click') AND value IS NOT NULL),
     z AS (SELECT count_if(a) AS na, count(*) AS n, sum(v) AS s, avg(v) FILTER (NOT a) - avg(v) FILTER (a) AS base FROM e),
-    d AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY {u(7, 'i', 'k')}, k) AS rn FROM e, range(1, 501) g(i)),
-    p AS (SELECT i, sum(v) FILTER (rn <= na) AS sa, any_value(na) AS na, any_value(n) AS n, any_value(s) AS s, any_value(base) AS base
-      FROM d, z GROUP BY i)
-    SELECT round(max(base), 6) AS difference, round(avg(((s - sa) / (n - na) - sa / na >= base)::INT), 6) AS p_value,
-    avg(((s - sa) / (n - na) - sa / na >= base)::INT) < 0.01 AS significant FROM p"""
+    d AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY m, k) AS rn FROM ({mixed("SELECT e.*, i FROM e, range(1, 10001) g(i)")})),
+    p AS (SELECT i, (s - sa) / (n - na) - sa / na AS difference, base FROM z, (
+      SELECT i, sum(v) FILTER (rn <= na) AS sa FROM d, (SELECT na FROM z) GROUP BY i))"""
+
+
+@query(
+    f"""{PERMUTED} SELECT round(max(base), 6) AS difference, round(avg((difference >= base)::INT), 6) AS p_value,
+    avg((difference >= base)::INT) < 0.01 AS significant FROM p"""
 )
 def permutation_test(t):
-    done = st.permutation_test(t.events, "event_type", "view", "click", "value", "event_id", shuffles=500)
+    """All 10,000 shuffles."""
+    done = st.permutation_test(t.events, "event_type", "view", "click", "value", "event_id")
     return rounded(done, "difference", "p_value")
 
 
+@query(f"{PERMUTED} SELECT i::INT AS iter, round(difference, 6) AS difference FROM p")
+def permutation_differences(t):
+    return rounded(st.permutation_differences(t.events, "event_type", "view", "click", "value", "event_id"), "difference")
+
+
+DRAWN = f"""WITH e AS (SELECT *, count(*) OVER () AS n, {words(7, 'rn')} FROM (
+      SELECT o_totalprice AS x, o_custkey::DOUBLE AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders)),
+    d AS (SELECT i, (m * n >> 32)::BIGINT AS rn FROM ({mixed("SELECT x1, x2, n, i FROM e, range(1, 1001) g(i)")})),
+    c AS (SELECT i, corr(x, y) AS estimate FROM d JOIN e USING (rn) GROUP BY i), w AS (SELECT corr(x, y) AS m FROM e)"""
+
+
+@query(
+    f"""{DRAWN}, o AS (SELECT estimate - m AS d, row_number() OVER (ORDER BY estimate - m, i) - 1 AS spot FROM c, w)
+    SELECT round(max(m), 6) AS estimate, round(max(m) - max(d) FILTER (spot = 975), 6) AS low,
+    round(max(m) - max(d) FILTER (spot = 25), 6) AS high FROM o, w"""
+)
+def bootstrap_correlation(t):
+    """Interval of a correlation, 1,000 resamples."""
+    df = t.orders.select("o_orderkey", F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"))
+    done = st.bootstrap_statistic_interval(df, st.MOMENTS, st.CORRELATION, "o_orderkey")
+    return rounded(done, "estimate", "low", "high")
+
+
+@query(f"{DRAWN} SELECT i::INT AS iter, round(sum(x) / count(*), 2) AS mean FROM d JOIN e USING (rn) GROUP BY i")
+def bootstrap_means(t):
+    drawn = st.bootstrap_sums(t.orders, {"sx": "o_totalprice"}, "o_orderkey")
+    return rounded(drawn.select("iter", (F.col("sx") / F.col("n")).alias("mean")), "mean", digits=2)
+
+
 @query(
     """WITH o AS (SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS o FROM lineitem GROUP BY 1, 2),
     e AS (SELECT f, s, coalesce(o, 0) AS o, sum(coalesce(o, 0)) OVER (PARTITION BY f) * sum(coalesce(o, 0)) OVER (PARTITION BY s)

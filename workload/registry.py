@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import draws
 from tablewright.plans.session import SETTINGS
 
 QUERIES = {}
@@ -56,3 +57,21 @@ def u(seed, *parts):
     """DuckDB: the uniform hash of ``functions.sampling``."""
     text = " || ':' || ".join([f"'{seed}'", *[f"({p})::VARCHAR" for p in parts]])
     return f"(('0x' || substr(md5({text}), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+def mixed(source):
+    """DuckDB: ``source`` (columns i, x1, x2) with the draw ``m`` of ``functions.draws``."""
+    mix = [
+        "xor(m, m >> 16)", f"(m * {draws.FIRST}) & 4294967295", "xor(m, m >> 13)", f"(m * {draws.SECOND}) & 4294967295",
+        "xor(m, m >> 16)",
+    ]
+    q = f"SELECT *, xor(x1, (i::UBIGINT * {draws.STEP}) & 4294967295) AS m FROM ({source})"
+    for step in [*mix, "(m + x2) & 4294967295", *mix]:
+        q = f"SELECT * REPLACE ({step} AS m) FROM ({q})"
+    return q
+
+
+def words(seed, key):
+    """DuckDB: the two words of a key."""
+    half = lambda at: f"('0x' || substr(md5('{seed}:' || ({key})::VARCHAR), {at}, 8))::UBIGINT"
+    return f"{half(1)} AS x1, {half(9)} AS x2"
