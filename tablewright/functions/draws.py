@@ -31,3 +31,22 @@ def mixed(i, x1, x2):
     x = x1.astype(np.uint32) ^ np.uint32(i * STEP & 0xFFFFFFFF)
     return _mix(_mix(x) + x2.astype(np.uint32))
 
+
+def permuted(numbers, n, seed):
+    """A bijection of 0 .. n - 1, the same for every task: where each of ``numbers`` goes.
+
+    Four Feistel rounds over the two halves of the bits; numbers that end up
+    at ``n`` or above go on until they are below.
+    """
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    out = numbers.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        low, high = out[todo] & mask, out[todo] >> np.uint64(half)
+        for k in range(1, 5):
+            word = mixed(k, low, np.full(len(low), seed)).astype(np.uint64) & mask
+            high, low = low, high ^ word
+        out[todo] = high << np.uint64(half) | low
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)

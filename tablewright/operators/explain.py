@@ -6,13 +6,13 @@ is shuffled are per-group sums.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
+from tablewright.functions import draws
 from tablewright.functions.sampling import hash_normal, hash_uniform
 from tablewright.operators.stats import log_loss
 from tablewright.plans.lineage import cut
@@ -64,23 +64,25 @@ def contributions(model, df, key, names, features="features"):
 def permutation_importance(model, df, key, names, label, features="features", seed=7, hard=True):
     """``(feature, importance)``: log loss after shuffling a column, minus before.
 
-    Rows are numbered once in key order and once per feature in the order of
-    a hash; joining the numbers gives each row another row's value.  All
-    features go through one join.  ``hard`` scores 0/1 predictions.
+    Rows are numbered in key order; row ``i`` takes the values of row
+    ``draws.permuted(i)``.  One bijection serves all columns, as each is judged
+    by itself, so a row travels once.  ``hard`` scores 0/1 predictions.
     """
     p = "prediction" if hard else "p"
     rows = _rows(df, key, features, F.col(label).cast("double").alias("y"))
+    rows = cut(numbered(rows, "row", "rn").select((F.col("rn") - 1).alias("rn"), "x", "y"))
+    n = rows.count()
     base = _scored(model, rows, F.col("x")).agg(log_loss("y", p)).scalar()
-    each = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))
-    drawn = rows.select("row", each.alias("f")).withColumn("u", hash_uniform(seed, "f", "row"))
-    slots = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = drawn.withColumn("slot", F.floor(F.col("u") * slots))
-    taken = numbered(drawn, ["u", "row"], "rn", ["f"], "slot").select("row", "f", "rn")
-    given = numbered(rows.select("row", "x"), "row", "rn").select(
-        "rn", F.posexplode("x").alias("f", "value")
-    )
-    mixed = rows.join(taken.join(given, ["f", "rn"]).select("row", "f", "value"), "row")
-    losses = _scored(model, mixed, _replaced(F.col("value"))).groupBy("f").agg(log_loss("y", p).alias("loss"))
+
+    def deal(batches):
+        for batch in batches:
+            taken = pa.array(draws.permuted(batch.column(0).to_numpy(), n, seed))
+            yield pa.RecordBatch.from_arrays([taken, *batch.columns[1:]], ["from", *batch.schema.names[1:]])
+
+    takers = rows.mapInArrow(deal, "from long, x array<double>, y double")
+    mixed = takers.join(rows.select(F.col("rn").alias("from"), F.col("x").alias("z")), "from").drop("from")
+    mixed = mixed.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    losses = _scored(model, mixed, _replaced(F.get("z", F.col("f")))).groupBy("f").agg(log_loss("y", p).alias("loss"))
     return _names(losses.withColumn("_base", base), names).select(
         "feature", (F.col("loss") - F.col("_base")).alias("importance")
     )
@@ -279,8 +281,10 @@ def tree_shapley(trees, df, key, names, features="features"):
 def local_surrogate(model, df, key, names, features="features", samples=500, kernel_width=5.0, ridge=1.0, seed=7):
     """``(row, feature, weight)``: a weighted ridge fit around each row.
 
-    Samples add normal noise of each column's spread.  Groups have ``samples``
-    rows, whatever the table.
+    Samples add normal noise of each column's spread.  They are made and scored
+    where the row is; what is shuffled are sums of a fixed size for each row (of
+    weights, values, scores and their products), from which batches of rows are
+    solved at once.
     """
     d = len(names)
     rows = _rows(df, key, features)
@@ -299,15 +303,24 @@ def local_surrogate(model, df, key, names, features="features", samples=500, ker
     weighed = _scored(model, tried, F.col("z")).select(
         "row", "e", "p", F.exp(-dist2 / F.lit(2.0 * kernel_width * kernel_width)).alias("w")
     )
-    kind = dict(rows.dtypes)["row"]
-
-    def fit(group):
-        e = np.stack(group["e"].to_numpy())
-        w, y = group["w"].to_numpy(), group["p"].to_numpy()
-        e0 = e - np.average(e, axis=0, weights=w)
-        y0 = y - np.average(y, weights=w)
-        beta = np.linalg.solve((e0 * w[:, None]).T @ e0 + ridge * np.eye(d), (e0 * w[:, None]).T @ y0)
-        return pd.DataFrame({"row": group["row"].iloc[0], "f": np.arange(d, dtype="int32"), "weight": beta})
-
-    fitted = weighed.groupBy("row").applyInPandas(fit, f"row {kind}, f int, weight double")
-    return _names(fitted, names).select("row", "feature", "weight")
+    w, p, e = F.col("w"), F.col("p"), [F.get("e", F.lit(i)) for i in range(d)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    moments = [w, w * p, *[w * v for v in e], *[w * v * p for v in e], *[w * e[i] * e[j] for i, j in pairs]]
+    sums, width = weighed.groupBy("row").agg(F.array(*[F.sum(m) for m in moments]).alias("m")), len(moments)
+
+    def solve(batches):
+        for batch in batches:
+            m = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            n, (sw, sp) = len(m), (m[:, 0], m[:, 1])
+            se, sep = m[:, 2 : 2 + d], m[:, 2 + d : 2 + 2 * d]
+            left = np.zeros((n, d, d))
+            for k, (i, j) in enumerate(pairs):
+                left[:, i, j] = left[:, j, i] = m[:, 2 + 2 * d + k] - se[:, i] * se[:, j] / sw
+            right = sep - se * (sp / sw)[:, None]
+            beta = np.linalg.solve(left + ridge * np.eye(d), right[:, :, None])[:, :, 0]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(n), d))), pa.array(list(names) * n, pa.string()), pa.array(beta.ravel())],
+                ["row", "feature", "weight"],
+            )
+
+    return sums.mapInArrow(solve, f"row {dict(rows.dtypes)['row']}, feature string, weight double")

@@ -134,3 +134,28 @@ def test_group_rules(spark):
     scores = spark.createDataFrame([("label", 1.0), ("x", 0.4), ("y", -0.9)], "f string, s double")
     assert [r.f for r in tb.rank_slice(scores, "s", "f", "label", 1).collect()] == ["x"]
     assert [r.f for r in tb.rank_slice(scores, "s", "f", "label", 1, by_abs=True).collect()] == ["y"]
+
+
+def test_spearman_matrix_with_missing_cells(spark):
+    rnd = np.random.default_rng(2)
+    x = np.round(rnd.normal(size=(80, 5)), 1)
+    x[:, 1] += x[:, 0]
+    x[:20, 2] = x[:20, 3] = np.nan
+    x[70:, 4] = np.nan
+    cells = [tuple(None if np.isnan(v) else float(v) for v in row) for row in x]
+    df = spark.createDataFrame(cells, ", ".join(f"{c} double" for c in "abcde"))
+    import pandas as pd
+
+    want = pd.DataFrame(x, columns=list("abcde")).corr(method="spearman")
+    got = {(r.col_x, r.col_y): r.spearman for r in st.spearman_matrix(df, list("abcde")).collect()}
+    assert len(got) == 10 and all(v == pytest.approx(want.loc[k]) for k, v in got.items())
+
+
+def test_permuted_is_a_bijection():
+    from tablewright.functions import draws
+
+    for n in (1, 2, 3, 17, 1000, 4097):
+        to = draws.permuted(np.arange(n), n, 7)
+        assert sorted(to.tolist()) == list(range(n))
+    assert (draws.permuted(np.arange(1000), 1000, 7) != np.arange(1000)).mean() > 0.98
+    assert (draws.permuted(np.arange(1000), 1000, 7) != draws.permuted(np.arange(1000), 1000, 8)).mean() > 0.98

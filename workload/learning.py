@@ -1,6 +1,7 @@
 """Models and their explanation; fitted models have no SQL, those that SQL can repeat have."""
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window as W, functions as F
 
 from tablewright.functions import text as tx
@@ -8,7 +9,7 @@ from tablewright.functions.sampling import hash_uniform
 from tablewright.operators import anomaly as an, explain as ex, forest as fo, models as ml
 from tablewright.plans.lineage import cut
 from workload.numbers import order_features
-from workload.registry import query, rounded
+from workload.registry import mixed, query, rounded, u
 from workload.tables import scratch
 
 DOC = ["n_chars", "n_words", "n_distinct", "mean_word", "n_lines"]
@@ -225,3 +226,72 @@ def selected_features_auc(t):
     ready = cut(ml.assemble(df, cols).select("c_custkey", "features", "label"))
     auc = ml.cross_auc(ml.forest_classifier(), ready, "label", "c_custkey")
     return ready.agg(F.count(F.lit(1)).alias("rows")).withColumn("auc", F.lit(auc))
+
+
+class Line:
+    """A logistic line with given coefficients, which SQL can repeat; it scores by ``prediction``."""
+
+    def __init__(self, coefficients, bias):
+        self.coefficients, self.bias = coefficients, bias
+
+    def transform(self, df):
+        x = vector_to_array("features")
+        total = sum((F.get(x, F.lit(i)) * c for i, c in enumerate(self.coefficients)), F.lit(self.bias))
+        return df.withColumn("prediction", 1 / (1 + F.exp(-total)))
+
+
+def dealt(k):
+    """DuckDB: one Feistel round of ``functions.draws.permuted`` after another, of columns rn, place, n, half."""
+    q = "SELECT rn, n, half, step, place & ((1 << half) - 1) AS low, place >> half AS high FROM walk WHERE step = 0 OR place >= n"
+    for i in range(1, 5):
+        drawn = mixed(f"SELECT *, {i} AS i, low AS x1, {k}::UBIGINT AS x2 FROM ({q})")
+        q = f"SELECT rn, n, half, step, low AS high, xor(high, m & ((1 << half) - 1)) AS low FROM ({drawn})"
+    return f"SELECT rn, n, half, step + 1 AS step, (high << half) | low AS place FROM ({q})"
+
+
+SCORED = "1 / (1 + exp(-(-3.0 + 2.0 * {} + 0.3 * {} - 0.01 * {})))"
+LOSS = "avg(-(y * ln({p}) + (1 - y) * ln(1 - {p})))"
+
+
+def loss_with(f):
+    at = [f"{'z' if i == f else 'e'}.{c}" for i, c in enumerate("abc")]
+    return f"SELECT '{['price', 'customer', 'month'][f]}' AS feature, {LOSS.format(p='(' + SCORED.format(*at) + ')')} AS loss FROM e JOIN found ON e.rn = found.rn JOIN z ON z.rn = found.place"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, o_totalprice / 100000 AS a, o_custkey / 1000.0 AS b,
+      month(o_orderdate)::DOUBLE AS c, (o_totalprice > 150000)::INT AS y FROM orders),
+    z AS (SELECT rn, a, b, c FROM e),
+    s AS (SELECT count(*)::UBIGINT AS n, ((floor(log2(greatest(count(*) - 1, 1)))::BIGINT + 2) // 2)::UBIGINT AS half FROM e),
+    walk AS (SELECT rn::UBIGINT AS rn, n, half, 0 AS step, rn::UBIGINT AS place FROM e, s UNION ALL {dealt(7)}),
+    found AS (SELECT rn, place FROM walk WHERE step > 0 AND place < n),
+    l AS ({" UNION ALL ".join(loss_with(f) for f in range(3))}),
+    base AS (SELECT {LOSS.format(p='(' + SCORED.format('a', 'b', 'c') + ')')} AS loss FROM e)
+    SELECT feature, round(l.loss - base.loss, 6) AS importance FROM l, base"""
+)
+def line_importance(t):
+    """Permutation importance of a given line."""
+    df = t.orders.select(
+        "o_orderkey", (F.col("o_totalprice") / 100000).alias("price"), (F.col("o_custkey") / 1000).alias("customer"),
+        F.month("o_orderdate").cast("double").alias("month"), (F.col("o_totalprice") > 150000).cast("double").alias("label"),
+    )
+    names = ["price", "customer", "month"]
+    done = ex.permutation_importance(Line([2.0, 0.3, -0.01], -3.0), ml.assemble(df, names), "o_orderkey", names, "label", hard=False)
+    return rounded(done, "importance")
+
+
+NORMAL = f"sqrt(-2 * ln(1 - {u('7a', 'row', 'sample', '0')})) * cos(2 * pi() * {u('7b', 'row', 'sample', '0')})"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id AS row, n_chars / 1000.0 AS x, stddev_pop(n_chars / 1000.0) OVER () AS sd FROM documents),
+    n AS (SELECT row, x, sd, CASE WHEN sample = 0 THEN 0.0 ELSE {NORMAL} END AS e FROM d, range(500) s(sample)),
+    w AS (SELECT row, e, exp(-e * e / 50) AS w, 1 / (1 + exp(-(0.8 * (x + e * sd) - 2))) AS p FROM n)
+    SELECT row, 'n_chars' AS feature,
+      round((sum(w * e * p) - sum(w * e) * sum(w * p) / sum(w)) / (sum(w * e * e) - sum(w * e) * sum(w * e) / sum(w) + 1), 6) AS weight
+    FROM w GROUP BY row"""
+)
+def line_surrogate(t):
+    """Local fits around every document of a given line of its length."""
+    df = t.documents.select("doc_id", (F.col("n_chars") / 1000.0).alias("n_chars"))
+    return rounded(ex.local_surrogate(Line([0.8], -2.0), ml.assemble(df, ["n_chars"]), "doc_id", ["n_chars"]), "weight")
