@@ -9,9 +9,8 @@ turn comes, because the pair found there no longer has that rank.  So n bytes
 take O(n log n) steps, also in one very long pre-token.
 
 Pre-tokens do not touch each other, so all those of a batch that are not known
-yet share one queue.  A task keeps the ids of frequent words and pre-tokens, and
-of words their decimal form and decoded bytes, too; the memory for that is
-bounded.
+yet share one queue.  A task keeps the ids of frequent words and pre-tokens;
+the memory for that is bounded.
 """
 
 import base64
@@ -128,7 +127,7 @@ class Tokenizer:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.known, self.known_old = {}, {}  # pre-token to ids
-        self.by_word, self.by_word_old = {}, {}  # a space and a word to a part; None if it can't be looked up alone
+        self.by_word, self.by_word_old = {}, {}  # a space and a word to ids; None if it can't be looked up alone
         self.pieces = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in ranks.values()}
 
@@ -170,15 +169,10 @@ class Tokenizer:
                 new[word] = self.split(" " + word)
         self._learn({t for tokens in new.values() for t in tokens})
         for word, tokens in new.items():
-            have[word] = self._part(tokens)
+            have[word] = tuple(self._joined(tokens))
 
-    def _part(self, tokens):
-        """``(ids, how they are written, the bytes that they decode to)``."""
-        ids = self._joined(tokens)
-        return tuple(ids), self.written(ids), self.decode(ids)
-
-    def encode_parts(self, texts):
-        """The parts of each whole text, one list at a time; put together they are the text's ids, and so on.
+    def encode_all(self, texts):
+        """Ids of each whole text, one list at a time.
 
         A pre-token never runs across a space that precedes other than white
         space, so a text is looked up by its words; one with other white space
@@ -196,20 +190,17 @@ class Tokenizer:
             self._learn_words(words)
             self._learn({t for tokens in first for t in tokens})
             for text, tokens in zip(texts[at:stop], first):
-                parts = list(map(self.by_word.__getitem__, text.split(" ")[1:]))
-                if None in parts:
-                    tokens, parts = self.split(text), []
+                ids = self._joined(tokens)
+                try:
+                    for found in map(self.by_word.__getitem__, text.split(" ")[1:]):
+                        ids += found
+                except TypeError:
+                    tokens = self.split(text)
                     self._learn_more(tokens)
-                if tokens:
-                    parts.insert(0, self._part(tokens))
-                yield parts
+                    ids = self._joined(tokens)
+                yield ids
             at = stop
 
-    def encode_all(self, texts):
-        """Ids of each whole text, one list at a time."""
-        for parts in self.encode_parts(texts):
-            yield [i for part in parts for i in part[0]]
-
     def _learn_more(self, tokens):
         """As ``_learn``, without dropping what the batch at hand still needs."""
         missing = {t for t in tokens if t not in self.known}
@@ -274,15 +265,14 @@ def round_trip(docs, path, pattern, id_col="doc_id", text_col="text", ids_col=No
         for batch in batches:
             counts, written, decoded, same, kept = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for text, parts in zip(texts, own.encode_parts(texts)):
-                ids, names_of, back = zip(*parts) if parts else ((), (), ())
-                back = b"".join(back)
-                counts.append(sum(map(len, ids)))
-                written.append(hashlib.sha256(",".join(names_of).encode()).hexdigest())
+            for text, ids in zip(texts, own.encode_all(texts)):
+                back = own.decode(ids)
+                counts.append(len(ids))
+                written.append(hashlib.sha256(own.written(ids).encode()).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())
                 same.append(back == text.encode("utf-8"))
                 if ids_col:
-                    kept.append(pa.array(list(itertools.chain.from_iterable(ids)), pa.int32()))
+                    kept.append(pa.array(ids, pa.int32()))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(written, pa.string()),
                        pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
             if ids_col:
