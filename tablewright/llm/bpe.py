@@ -16,10 +16,13 @@ the memory for that is bounded.
 import base64
 import hashlib
 import itertools
-from functools import lru_cache
+import sys
+from array import array
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
@@ -29,6 +32,7 @@ WORD_MASK = (1 << WORD_BITS) - 1
 KEPT = 300_000  # pre-tokens remembered in each of two generations
 KEPT_WORDS = 200_000  # the same for words, which may hold a few pre-tokens
 BATCH = 1 << 21  # code points looked at together
+IN_LISTS = 1 << 22  # bytes up to which a queue's positions are in lists, beyond in arrays: 16 bytes for each byte
 
 
 def read_ranks(path):
@@ -37,29 +41,42 @@ def read_ranks(path):
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge_pieces(tokens, ranks):
-    """Ids of each pre-token (bytes, not empty)."""
+def byte_pairs(ranks):
+    """Rank of two bytes at ``256 * first + second``; -1 where they are no token."""
+    table = np.full(1 << 16, -1, np.int32)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            table[token[0] << 8 | token[1]] = rank
+    return table
+
+
+def merge_pieces(tokens, ranks, pairs=None):
+    """Ids of each pre-token (bytes, not empty) as 32-bit integers in a row; ``pairs`` is ``byte_pairs(ranks)``, if at hand."""
+    pairs = byte_pairs(ranks) if pairs is None else pairs
     data = b"".join(tokens)
     n = len(data)
     rank_of = ranks.get
+    column = list if n <= IN_LISTS else partial(array, "i")
     bounds = np.cumsum([0, *map(len, tokens)])
-    head = bytearray(n + 1)  # 1 where a pre-token begins
-    for at in bounds.tolist():
-        head[at] = 1
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    end = list(range(1, n + 1))  # of the piece that begins here; 0 once it is merged away
+    heads = np.zeros(n + 1, np.uint8)  # 1 where a pre-token begins
+    heads[bounds] = 1
+    head = heads.tobytes()
+    raw = np.frombuffer(data, np.uint8)
+    first = np.full(n, -1, np.int32)
+    first[:-1] = np.where(heads[1:n], -1, pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]])
+    after, before = column(range(1, n + 2)), column(range(-1, n))
+    rank_at = column(first.tolist())  # of the pair that begins here; -1 if none
+    piece = column(map([ranks[bytes([byte])] for byte in range(256)].__getitem__, data))  # ids; -1: merged away
     top, words, buckets = 0, {}, {}  # words in use; ranks in use by word; positions by rank
 
-    pairs = {}
-    for i in np.flatnonzero(np.frombuffer(head, np.uint8)[1:n] == 0).tolist():
-        pairs.setdefault(data[i : i + 2], []).append(i)
-    for pair, at in pairs.items():
-        rank = rank_of(pair)
-        if rank is not None:
-            buckets[rank] = at
-            word = rank >> WORD_BITS
-            words[word] = words.get(word, 0) | 1 << (rank & WORD_MASK)
-            top |= 1 << word
+    order = np.argsort(first, kind="stable")[np.count_nonzero(first < 0) :]
+    cuts = np.flatnonzero(np.diff(first[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        rank = int(first[at[0]])
+        buckets[rank] = at.tolist()
+        word = rank >> WORD_BITS
+        words[word] = words.get(word, 0) | 1 << (rank & WORD_MASK)
+        top |= 1 << word
     while top:
         word = (top & -top).bit_length() - 1  # find first set
         bits = words[word]
@@ -71,33 +88,35 @@ def merge_pieces(tokens, ranks):
         bucket = buckets.pop(rank)
         bucket.sort()  # the leftmost pair of a pre-token is merged first
         for done, i in enumerate(bucket, 1):
-            j = after[i]
-            if not end[i] or head[j] or rank_of(data[i : end[j]]) != rank:
+            if rank_at[i] != rank:
                 continue  # stale
-            stop = end[i] = end[j]
-            end[j] = 0
+            j = after[i]
             k = after[i] = after[j]
-            fresh = []
-            if not head[k]:
-                before[k] = i
-                fresh.append((rank_of(data[i : end[k]]), i))
-            elif k < n:
-                before[k] = i
-            if not head[i]:
-                h = before[i]
-                fresh.append((rank_of(data[h:stop]), h))
-            lower = False
-            for new, at in fresh:
-                if new is None:
-                    continue
-                lower |= new <= rank
+            before[k] = i
+            piece[i], piece[j] = rank, -1
+            rank_at[j] = -1
+            new = rank_at[i] = -1 if head[k] else rank_of(data[i : after[k]], -1)
+            if new >= 0:
                 if new in buckets:
-                    buckets[new].append(at)
+                    buckets[new].append(i)
                 else:
-                    buckets[new] = [at]
+                    buckets[new] = [i]
                     word = new >> WORD_BITS
                     words[word] = words.get(word, 0) | 1 << (new & WORD_MASK)
                     top |= 1 << word
+            lower = 0 <= new <= rank
+            if not head[i]:
+                h = before[i]
+                new = rank_at[h] = rank_of(data[h:k], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(h)
+                    else:
+                        buckets[new] = [h]
+                        word = new >> WORD_BITS
+                        words[word] = words.get(word, 0) | 1 << (new & WORD_MASK)
+                        top |= 1 << word
+                    lower |= new <= rank
             if lower and done < len(bucket):  # it comes first; the rest of this bucket waits
                 if rank in buckets:
                     buckets[rank] += bucket[done:]
@@ -107,14 +126,10 @@ def merge_pieces(tokens, ranks):
                     words[word] = words.get(word, 0) | low
                     top |= 1 << word
                 break
-    found, i = [], 0
-    for stop in bounds[1:].tolist():
-        ids = []
-        while i < stop:
-            ids.append(ranks[data[i : end[i]]])
-            i = after[i]
-        found.append(tuple(ids))
-    return found
+    ids = np.array(piece, np.int32)
+    left = 4 * np.concatenate([[0], np.cumsum(ids >= 0)])[bounds]
+    ids = ids[ids >= 0].tobytes()
+    return [ids[a:b] for a, b in itertools.pairwise(left.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -124,55 +139,64 @@ def tokenizer(path, pattern):
 
 class Tokenizer:
     def __init__(self, ranks, pattern):
-        self.ranks = ranks
+        self.ranks, self.pairs = ranks, byte_pairs(ranks)
         self.split = regex.compile(pattern).findall
-        self.known, self.known_old = {}, {}  # pre-token to ids
-        self.by_word, self.by_word_old = {}, {}  # a space and a word to ids; None if it can't be looked up alone
-        self.pieces = {rank: token for token, rank in ranks.items()}
-        self.names = {rank: str(rank) for rank in ranks.values()}
+        # what is known has its ids as bytes, four for each
+        self.known, self.known_old = {}, {}  # by pre-token
+        self.by_word, self.by_word_old = {}, {}  # by word, a space before it; None if it can't be looked up alone
+        pieces = dict(zip(ranks.values(), ranks))
+        upto = range(1 + max(pieces, default=-1))
+        self.pieces = pa.array([pieces.get(rank, b"") for rank in upto], pa.large_binary())
+        self.names = pa.array([f"{rank}," for rank in upto], pa.large_string())
 
     def _learn(self, tokens):
         """Puts the ids of these pre-tokens into ``known``."""
         if len(self.known) > KEPT:
             self.known_old, self.known = self.known, {}
-        known, old, new = self.known, self.known_old, {}
-        for token in tokens:
-            if token not in known:
-                if token in old:
-                    known[token] = old[token]
-                else:
-                    raw = token.encode("utf-8")
-                    rank = self.ranks.get(raw)
-                    if rank is None:
-                        new[token] = raw
-                    else:
-                        known[token] = (rank,)
+        known, old, ranks, new = self.known, self.known_old, self.ranks, {}
+        for token in tokens.difference(known):
+            if token in old:
+                known[token] = old[token]
+                continue
+            raw = token.encode("utf-8")
+            rank = ranks.get(raw)
+            if rank is None:
+                new[token] = raw
+            else:
+                known[token] = rank.to_bytes(4, sys.byteorder)
         if new:
-            known.update(zip(new, merge_pieces(list(new.values()), self.ranks)))
-
-    def _joined(self, tokens):
-        ids = []
-        for found in map(self.known.__getitem__, tokens):
-            ids += found
-        return ids
+            known.update(zip(new, merge_pieces(list(new.values()), ranks, self.pairs)))
 
     def _learn_words(self, words):
         if len(self.by_word) > KEPT_WORDS:
             self.by_word_old, self.by_word = self.by_word, {}
-        have, old, new = self.by_word, self.by_word_old, {}
+        have, old, new = self.by_word, self.by_word_old, []
         for word in words.difference(have):
             if word in old:
                 have[word] = old[word]
             elif not word or word[0].isspace():
                 have[word] = None
             else:
-                new[word] = self.split(" " + word)
-        self._learn({t for tokens in new.values() for t in tokens})
-        for word, tokens in new.items():
-            have[word] = tuple(self._joined(tokens))
+                new.append(word)
+        if not new:
+            return
+        tokens = self.split(" " + " ".join(new))
+        starts = [i for i, token in enumerate(tokens) if token[0] == " "]
+        if len(starts) != len(new):  # a pattern that does not begin a pre-token at each word
+            parts = [self.split(" " + word) for word in new]
+            tokens = list(itertools.chain.from_iterable(parts))
+            starts = list(itertools.accumulate(map(len, parts[:-1]), initial=0))
+        self._learn(set(tokens))
+        found = list(map(self.known.__getitem__, tokens))
+        for word, a, b in zip(new, starts, [*starts[1:], len(tokens)]):
+            have[word] = found[a] if b == a + 1 else b"".join(found[a:b])
 
     def encode_all(self, texts):
-        """Ids of each whole text, one list at a time.
+        """Ids of each whole text, one list at a time."""
+        return (ids.tolist() for ids in self.arrays(texts))
+
+    def arrays(self, texts):
+        """Ids of each whole text, one array at a time.
 
         A pre-token never runs across a space that precedes other than white
         space, so a text is looked up by its words; one with other white space
@@ -180,41 +204,47 @@ class Tokenizer:
         """
         at = 0
         while at < len(texts):
-            size, stop, words, first = 0, at, set(), []
+            size, stop, words, first, rest = 0, at, set(), [], []
             while stop < len(texts) and size < BATCH:
-                parts = texts[stop].split(" ")
-                first.append(self.split(parts[0]))
-                words.update(parts[1:])
+                head, *parts = texts[stop].split(" ")
+                first.append(self.split(head))
+                rest.append(parts)
+                words.update(parts)
                 size += len(texts[stop])
                 stop += 1
             self._learn_words(words)
-            self._learn({t for tokens in first for t in tokens})
-            for text, tokens in zip(texts[at:stop], first):
-                ids = self._joined(tokens)
-                try:
-                    for found in map(self.by_word.__getitem__, text.split(" ")[1:]):
-                        ids += found
-                except TypeError:
-                    tokens = self.split(text)
+            self._learn(set(itertools.chain.from_iterable(first)))
+            for text, tokens, parts in zip(texts[at:stop], first, rest):
+                found = list(map(self.by_word.__getitem__, parts))
+                if None in found:
+                    tokens, found = self.split(text), []
                     self._learn_more(tokens)
-                    ids = self._joined(tokens)
-                yield ids
+                ids = b"".join([*map(self.known.__getitem__, tokens), *found])
+                yield np.frombuffer(ids, np.int32)
             at = stop
 
     def _learn_more(self, tokens):
         """As ``_learn``, without dropping what the batch at hand still needs."""
         missing = {t for t in tokens if t not in self.known}
-        self.known.update(zip(missing, merge_pieces([t.encode("utf-8") for t in missing], self.ranks)))
+        raw = [t.encode("utf-8") for t in missing]
+        self.known.update(zip(missing, merge_pieces(raw, self.ranks, self.pairs)))
 
     def encode(self, text):
         return next(self.encode_all([text]))
 
     def decode(self, ids):
         """The bytes that ``ids`` stand for."""
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return _in_a_row(self.pieces.take(pa.array(ids, pa.int32()))).tobytes()
 
     def written(self, ids):
-        return ",".join(map(self.names.__getitem__, ids))
+        """Decimal ids joined by commas, as bytes."""
+        return _in_a_row(self.names.take(pa.array(ids, pa.int32())))[:-1]
+
+
+def _in_a_row(values):
+    """The bytes of all values of an Arrow array of its own."""
+    data = values.buffers()[2]
+    return memoryview(data or b"")[: pc.sum(pc.binary_length(values)).as_py() or 0]
 
 
 def encode_column(df, path, pattern, text_col="text", out="ids"):
@@ -228,7 +258,7 @@ def encode_column(df, path, pattern, text_col="text", out="ids"):
         own = tokenizer(path, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            ids = list(own.encode_all([t or "" for t in texts.to_pylist()]))
+            ids = list(own.arrays([t or "" for t in texts.to_pylist()]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out]
             )
@@ -265,10 +295,10 @@ def round_trip(docs, path, pattern, id_col="doc_id", text_col="text", ids_col=No
         for batch in batches:
             counts, written, decoded, same, kept = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for text, ids in zip(texts, own.encode_all(texts)):
+            for text, ids in zip(texts, own.arrays(texts)):
                 back = own.decode(ids)
                 counts.append(len(ids))
-                written.append(hashlib.sha256(own.written(ids).encode()).hexdigest())
+                written.append(hashlib.sha256(own.written(ids)).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())
                 same.append(back == text.encode("utf-8"))
                 if ids_col:
