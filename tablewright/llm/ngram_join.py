@@ -6,8 +6,10 @@ difference of the two sets.  At similarity t two sets of sizes a and b differ in
 D = (1 - t) / (1 + t) * (a + b) n-grams at most.  Documents are put into bands
 of sizes; in a band the n-grams of a document are dealt by hash over more than
 D pieces, each with the XOR of its n-grams' hashes.  Two similar documents have
-the same n-grams in at least one piece, so a join on the piece finds the pair,
-without exception.  Neighbouring bands meet in a zone around their boundary.
+the same n-grams in more pieces than either may leave out, so a join on the
+piece finds the pair, without exception; a document leaves out the pieces of
+fewest n-grams, which say least.  Neighbouring bands meet in a zone around their
+boundary.
 Pairs whose whole sketches are too far apart are dropped; the texts of the rest
 are compared exactly.  Sketches of 1,024 bits are compared inside the join; a
 large set, whose allowed difference would fill them, has a wide sketch, too, of
@@ -33,24 +35,45 @@ from tablewright.plans.lineage import cut
 
 GROWTH = 1.5  # of the sizes from band to band
 STEP_BITS = 6  # each step compares with 2^6 times as many centres of a piece
+SPARE = 1 / 40, 1 / 20, 1 / 10, 1 / 8, 1 / 6, 1 / 4
+LEAST = 16  # n-grams of a piece up to which it may count as small
 SKETCH = 16  # 64-bit words of the whole sketch
 FEW_IDS = 2_000_000  # ids up to which those of candidates go to every task (16 MB)
 
 
+def spare_share(percent):
+    """Pieces beyond those that two similar sets can differ in, as a share of them.
+
+    The smallest one that lets a large set leave out its pieces of one n-gram or
+    none, whose number is that of a Poisson distribution, with a fifth to spare.
+    """
+    for share in SPARE:
+        mean = (100 + percent) / (2 * max(100 - percent, 1) * (1 + share))  # n-grams of a piece
+        if (1 + mean) * np.exp(-mean) <= 0.8 * share / (1 + share):
+            break
+    return share
+
+
 class Bands:
     """Bands of set sizes, and how many pieces a document of a size has in each."""
 
     def __init__(self, percent, growth=GROWTH):
         # a pair spans one boundary at most, and no size lies in two zones
         self.percent, self.growth, self.schemes = percent, max(growth, 1.05 * (100 / percent) ** 2), []
+        self.spare = spare_share(percent)
         self.low, self.zone_end = 1, 0
         self.home, self.zone = np.full(1, -1), np.full(1, -1)
 
-    def _pieces(self, a, b):
-        """``(pieces, weak ones that may be left out)`` for sets of up to ``a`` and ``b``."""
-        most = (100 - self.percent) * (a + b) // (100 + self.percent)
-        spare = 1 + most // 40 if most else 0
-        return most + 1 + spare, spare
+    def _scheme(self, low_end, top):
+        """``(pieces, low_end, top)`` of pairs of sizes below ``low_end`` and up to ``top``."""
+        most = (100 - self.percent) * (low_end - 1 + top) // (100 + self.percent)
+        spare = 1 + int(most * self.spare) if most else 0
+        return most + 1 + spare, low_end, top
+
+    def may_go(self, n, pieces, low_end, top):
+        """How many pieces a set of size ``n`` may leave out: all but one of those that any similar set shares."""
+        partner = np.where(n < low_end, np.minimum(n * 100 // self.percent, top), low_end - 1)
+        return pieces - 1 - (100 - self.percent) * (n + partner) // (100 + self.percent)
 
     def cover(self, largest):
         """Makes the bands up to a size; ``home[n]`` and ``zone[n]`` number the schemes of size n."""
@@ -62,14 +85,14 @@ class Bands:
             zone = home.copy()
             home[: len(self.home)], zone[: len(self.zone)] = self.home, self.zone
             home[self.low : after] = len(self.schemes)
-            self.schemes.append(self._pieces(after - 1, after - 1))
+            self.schemes.append(self._scheme(after, after - 1))
             first = -(-self.percent * after // 100)
             last = (after - 1) * 100 // self.percent
             if first < after <= last:
                 zone = np.concatenate([zone, np.full(max(0, last + 1 - len(zone)), -1)])
                 home = np.concatenate([home, np.full(len(zone) - len(home), -1)])
                 zone[first : last + 1] = len(self.schemes)
-                self.schemes.append(self._pieces(after - 1, last))
+                self.schemes.append(self._scheme(after, last))
                 self.zone_end = last
             self.home, self.zone, self.low = home, zone, after
 
@@ -87,38 +110,47 @@ def text_sets(data, at, width):
     return row, value, np.bincount(row, minlength=n)
 
 
-def _pieces_of(row, value, count, scheme_of, schemes, seed):
-    """``(row, key)``: the piece keys of the rows that ``scheme_of`` gives a scheme."""
+def _pieces_of(row, value, count, scheme_of, bands, seed):
+    """``(row, key)``: the piece keys of the rows that ``scheme_of`` gives a scheme.
+
+    A row leaves out its smallest pieces: those of fewer than t n-grams, for the
+    largest t that leaves out no more than it may.  The same piece has the same
+    n-grams in both rows of a pair, so of the two the one of larger t decides
+    for both, and at least one shared piece stays.
+    """
     scheme = scheme_of[count]
     use = scheme[row] >= 0
     row, value = row[use], value[use]
     if not len(row):
         return row, value
-    pieces = np.array([s[0] for s in schemes], np.uint64)
-    spare = np.array([s[1] for s in schemes])
-    piece = ((value >> np.uint64(32)) * pieces[scheme[row]]) >> np.uint64(32)
+    pieces, low_end, top = (np.array(column, np.int64) for column in zip(*bands.schemes))
+    piece = ((value >> np.uint64(32)) * pieces.astype(np.uint64)[scheme[row]]) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])]))
     held = np.diff(np.concatenate([first, [len(row)]]))
     x = np.bitwise_xor.reduceat(mix(value ^ np.uint64(seed)), first)
     row, piece = row[first], piece[first]
-    # pieces of one n-gram or none say little; if they are no more than the spare ones they are left out
     n = len(count)
-    strong = np.bincount(row[held > 1], minlength=n)
-    kinds = scheme[row]
-    weak = pieces.astype(np.int64)[kinds] - strong[row]
-    keep = (held > 1) | (weak > spare[kinds])
-    tag = mix((kinds.astype(np.uint64) << np.uint64(40)) ^ piece)
+    own = np.flatnonzero((scheme >= 0) & (count > 0))
+    kind = scheme[own]
+    may = np.zeros(n, np.int64)
+    may[own] = bands.may_go(count[own], pieces[kind], low_end[kind], top[kind])
+    total = np.zeros(n, np.int64)
+    total[own] = pieces[kind]
+    least = np.zeros(n, np.int64)  # t
+    for t in range(1, LEAST + 1):
+        small = total - np.bincount(row[held >= t], minlength=n)
+        least[small <= may] = t
+    keep = held >= least[row]
+    tag = mix((scheme[row].astype(np.uint64) << np.uint64(40)) ^ piece)
     key = mix(x ^ tag)[keep]
+    full_row, full_piece = row, piece
     row = row[keep]
-    # a document with many weak pieces has its empty ones, too
-    many = np.flatnonzero((scheme >= 0) & (count > 0))
-    many = many[pieces.astype(np.int64)[scheme[many]] - strong[many] > spare[scheme[many]]]
+    many = own[least[own] == 0]  # they have their empty pieces, too
     if len(many):
         more_row, more_key = [row], [key]
-        begin, end = np.searchsorted(row, many), np.searchsorted(row, many, side="right")
-        full, full_piece = np.searchsorted(row, many), piece[keep]
+        begin, end = np.searchsorted(full_row, many), np.searchsorted(full_row, many, side="right")
         for i, a, b in zip(many.tolist(), begin, end):
-            empty = np.setdiff1d(np.arange(int(pieces[scheme[i]]), dtype=np.uint64), full_piece[a:b])
+            empty = np.setdiff1d(np.arange(int(total[i]), dtype=np.uint64), full_piece[a:b])
             more_row.append(np.full(len(empty), i))
             more_key.append(mix(mix((np.uint64(scheme[i]) << np.uint64(40)) ^ empty)))
         row, key = np.concatenate(more_row), np.concatenate(more_key)
@@ -149,7 +181,7 @@ def sketches(docs, width, percent, id_col="id", text_col="text"):
                 n = len(at) - 1
                 row, value, count = text_sets(data, at, width)
                 bands.cover(int(count.max(initial=1)))
-                parts = [_pieces_of(row, value, count, s, bands.schemes, 0x51ED) for s in (bands.home, bands.zone)]
+                parts = [_pieces_of(row, value, count, s, bands, 0x51ED) for s in (bands.home, bands.zone)]
                 rows = np.concatenate([p[0] for p in parts])
                 order = np.argsort(rows, kind="stable")
                 keys = np.concatenate([p[1] for p in parts])[order].view(np.int64)

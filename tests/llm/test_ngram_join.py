@@ -95,7 +95,7 @@ def test_every_similar_pair_shares_a_piece():
             assert count.tolist() == [len(s) for s in sets]
             bands.cover(int(count.max()))
             for scheme in (bands.home, bands.zone):
-                for i, key in zip(*ngram_join._pieces_of(row, value, count, scheme, bands.schemes, 1)):
+                for i, key in zip(*ngram_join._pieces_of(row, value, count, scheme, bands, 1)):
                     keys.setdefault(first + i, set()).add(int(key))
         for k in range(0, len(texts), 3):
             for a, b in ((k, k + 1), (k, k + 2), (k + 1, k + 2)):
