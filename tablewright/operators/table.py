@@ -178,14 +178,19 @@ def crosstab(df, rows, cols):
 
 
 def crosstab_wide(df, rows, cols, levels=None):
-    """Crosstab with one column per value and an ``All`` row and column."""
+    """Crosstab with one column per value and an ``All`` row and column.
+
+    A row value ``All`` of the data keeps a row of its own beside the margin.
+    """
     base = df.dropna(subset=[rows, cols]).select(F.col(rows).cast("string"), F.col(cols).cast("string"))
     wide = base.groupBy(rows).pivot(cols, levels).agg(F.count(F.lit(1))).fillna(0)
     names = [c for c in wide.columns if c != rows]
     margin = wide.agg(*[F.sum(f"`{c}`").alias(c) for c in names]).select(F.lit("All").alias(rows), "*")
-    every = base.rollup(rows).agg(F.count(F.lit(1)).alias("All"))  # also of values that are not among the levels
-    every = every.select(F.coalesce(rows, F.lit("All")).alias(rows), "All")
-    return wide.unionByName(margin).join(every, rows)
+    both = wide.withColumn("_margin", F.lit(1)).unionByName(margin.withColumn("_margin", F.lit(2)))
+    # also of values that are not among the levels
+    every = base.rollup(rows).agg(F.count(F.lit(1)).alias("All"), (F.grouping(rows) + 1).cast("int").alias("_margin"))
+    every = every.select(F.coalesce(rows, F.lit("All")).alias(rows), "_margin", "All")
+    return both.join(every, [rows, "_margin"]).drop("_margin")
 
 
 def histogram(df, value, bins=10):

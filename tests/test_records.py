@@ -184,3 +184,9 @@ def test_links_in_any_quotes_and_references(spark):
     marked = "<div class='textimage section'><p>one</p></div><div class=\"textimage section\"><p>two</p></div>"
     parts = pg.sections(spark.createDataFrame([(1, marked)], "page_id int, html string"))
     assert parts.count() == 2
+
+
+def test_crosstab_of_a_value_named_as_the_margin(spark):
+    df = spark.createDataFrame([("All", "x"), ("All", "y"), ("b", "x"), (None, "x")], "r string, c string")
+    got = sorted((r.r, r.x, r.y, r.All) for r in tb.crosstab_wide(df, "r", "c").collect())
+    assert got == [("All", 1, 1, 2), ("All", 2, 1, 3), ("b", 1, 0, 1)]
