@@ -214,6 +214,20 @@ def graph_degree(t):
     return gr.degree(*traded(t), above=30)
 
 
+@query(
+    """WITH a AS (SELECT DISTINCT 'c' || o_custkey AS c, 's' || l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+    SELECT 'c' || c_custkey AS id, count(a.s) AS degree FROM customer LEFT JOIN a ON a.c = 'c' || c_custkey GROUP BY c_custkey
+    UNION ALL SELECT s AS id, count(*) AS degree FROM a GROUP BY s"""
+)
+def adjacency_degree(t):
+    """Customers with the list of suppliers of each of their orders; one without orders stays alone."""
+    lists = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("near"))
+    lists = t.orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "near")
+    lists = t.customer.join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
+    table = lists.select(F.concat(F.lit("c"), "c_custkey").alias("id"), "near")
+    return gr.degree(*gr.graph_from_adjacency(table, "id", "near"))
+
+
 def pagerank_sql(rounds):
     steps = [
         "o AS (SELECT src, count(*) AS n FROM arcs GROUP BY 1)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
 from tablewright.functions.sampling import split_by_hash
-from tablewright.operators import encode as ec, models as ml, table as tb
+from tablewright.operators import encode as ec, graph as gr, models as ml, table as tb
 from tablewright.plans.lineage import steps_folder
 from tablewright.sources import readers, writers
 from workload.registry import query, r, rounded, u
@@ -50,6 +50,17 @@ def tsv_gz_round_trip(t):
     return readers.tsv_gz(t.spark, path, "c_custkey bigint, c_name string, c_acctbal double")
 
 
+@query(
+    """SELECT DISTINCT least(p.l_partkey, p.l_suppkey) AS src, greatest(p.l_partkey, p.l_suppkey) AS dst
+    FROM lineitem p WHERE p.l_partkey <> p.l_suppkey"""
+)
+def edge_list_graph(t):
+    """Parts and suppliers as vertices of one number range, from a text with spaces between them."""
+    path = scratch(t, "edges")
+    writers.csv(t.lineitem.select("l_partkey", "l_suppkey"), path, header=False, sep=" ")
+    return gr.graph_from_edges(readers.edge_list(t.spark, path))
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def json_lines_round_trip(t):
     path = scratch(t, "json")
