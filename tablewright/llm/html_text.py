@@ -12,6 +12,12 @@ part it from one that does.  Text that the page marks as its article counts twic
 once; runs end where the mark does, and a marked run is joined to the next
 marked one if nothing but boxes lies between.  If no run reaches the threshold,
 the heaviest is kept.
+
+Class names and ids tell boxes by whole names.  Some words (``sidebar``,
+``newsletter``) always do; others (``ad``, ``social``, ``related``) only if the rest
+of the attribute says no more (``related-posts`` is a box, ``related-work`` and
+``social history`` are not).  Text in ``pre`` and ``code``, and the ids of headings in the
+article, which repeat their text, tell nothing.
 """
 
 import html
@@ -31,21 +37,36 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 # fixed values: element names and words of class names
-RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "math", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "noembed", "noframes"}
+TO_THE_END = {"script", "style", "title", "textarea"}  # without an end tag they reach to the end of the page
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
-    "search section select summary table tbody td tfoot th thead tr ul".split()
+    "search section select summary table tbody td tfoot th thead tr ul xmp".split()
 )
 BOXES = {"nav", "footer", "aside", "form", "menu", "select", "button", "dialog", "search", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 BOX_WORDS = set(
-    "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar menu nav navbar "
-    "navigation breadcrumb breadcrumbs footer comment comments commentlist disqus cookie cookies consent notice notices "
-    "gdpr newsletter subscribe signup login share sharing social related recommended widget popup modal toolbar "
-    "pagination pager copyright masthead topbar".split()
+    "adsense advert adverts advertisement advertisements advertising sponsored sidebar nav navbar navigation breadcrumb breadcrumbs "
+    "footer comments commentlist disqus cookie cookies gdpr newsletter signup popup modal toolbar pagination pager masthead topbar".split()
+)
+# words that also stand in names of other things
+VAGUE_WORDS = set(
+    "ad ads adv sponsor promo promotion banner menu comment consent notice notices subscribe login share sharing social "
+    "related recommended widget copyright header".split()
+)
+# words that go with them in names of boxes
+HELPERS = set(
+    "alt area articles author bar block body bottom box btn button buttons center clearfix col column container content count desktop "
+    "div even fixed flex follow form full global google grid group head heading icon icons inline inner item items label large "
+    "left link links list main media mobile module odd outer overlay page panel parent placeholder post posts primary privacy "
+    "reader readers region reply right row secondary section site slot small sticky stories story text thread title tools top unit "
+    "us user users view website wide wrap wrapper you".split()
 )
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CODE = {"pre", "code", "samp", "kbd"}
+TEXT = HEADINGS | {"p", "blockquote", "figure", "table", "pre", "span"}
 INSIDE = {"article", "main"}
 # boxes at which the text of a page ends; others interrupt it
 END_BOXES = {"nav", "footer", "header", "menu", "head"}
@@ -58,28 +79,41 @@ END_WORDS = set(
 PAGE, ARTICLE, GAP, END, MARK = range(5)
 
 
-def _box(name, attributes, in_article):
+def _names_box(value, in_article, strict):
+    """Whether a class or id is the name of a box; if strict, ``cookie`` in ``cookie-recipe`` is not."""
+    words = [w for w in re.split(r"[\s_-]+", value) if w]
+    vague = VAGUE_WORDS - {"header"} if in_article else VAGUE_WORDS
+    for token in value.split():
+        parts = [w for w in re.split(r"[_-]+", token) if w]
+        if any(w in BOX_WORDS for w in parts) and (not strict or all(_goes_with(w, vague) for w in parts)):
+            return True
+    return any(w in vague for w in words) and all(_goes_with(w, vague) for w in words)
+
+
+def _goes_with(word, vague):
+    return word in BOX_WORDS or word in vague or word in HELPERS or not word.isalpha()
+
+
+def _box(name, attributes, in_article, in_code):
     """Whether an element is one of the boxes around the main text."""
     if name in BOXES or name == "header" and not in_article:
         return True
-    if "=" not in attributes and "hidden" not in attributes:
+    if "=" not in attributes and "hidden" not in attributes.lower():
         return False
-    words = set()
+    named = False
     for key, *value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(value).lower()
+        key, value = key.lower(), html.unescape("".join(value)).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if key == "role" and value in ROLES and not (value == "banner" and in_article):
             return True
-        if key in ("class", "id"):
-            words.update(re.split(r"[\s_-]+", value))
-    if name in ("body", "html", "main"):
-        return False
-    if name == "article":
-        return bool(words & {"comment", "comments", "ad", "advert", "promo", "related"})
-    return bool(words & BOX_WORDS) or "header" in words and not in_article
+        if key == "class" and name == "article":
+            named |= bool({"comment", "comments", "ad", "advert", "promo", "related"}.intersection(re.split(r"[\s_-]+", value)))
+        elif key == "class" or key == "id" and not (in_article and name in HEADINGS):
+            named |= _names_box(value, in_article, in_article or name in TEXT)
+    return named and not in_code and name not in ("body", "html", "main")
 
 
 def _gap(name, attributes):
@@ -95,7 +129,7 @@ def _gap(name, attributes):
 def lines_of(page):
     """``(text, weight, kind)`` of each line; those of gaps have no text."""
     lines, piece, weight = [], [], 0
-    stack, boxes, articles, links = [], 0, 0, 0
+    stack, boxes, articles, links, code, unclosed = [], 0, 0, 0, 0, set()
 
     def flush():
         nonlocal weight
@@ -138,9 +172,14 @@ def lines_of(page):
             continue
         closing, attributes = tag[1] or tag[4], tag[3] or tag[6] or ""
         if name in RAW:
-            if not closing and not attributes.endswith("/"):
+            if not closing and not attributes.endswith("/") and name not in unclosed:
                 over = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = over.end() if over else end
+                if over:
+                    at = over.end()
+                elif name in TO_THE_END:
+                    at = end
+                else:
+                    unclosed.add(name)
             continue
         if name in BLOCK:
             flush()
@@ -148,6 +187,16 @@ def lines_of(page):
                 leave(len(stack) - 1)
         if name == "a":
             links = 0 if closing else 1
+        if name == "xmp" and not closing:  # its text is no markup
+            over = re.compile("</xmp[^>]*>", re.I).search(page, at)
+            said = page[at : over.start() if over else end]
+            if not boxes:
+                piece.append(html.escape(said))
+                weight += 0 if links else len(said.strip())
+            at = over.start() if over else end
+            continue
+        if name in CODE:
+            code = max(code - 1, 0) if closing else code + 1
         if name in VOID:
             continue
         if closing:
@@ -157,7 +206,7 @@ def lines_of(page):
                     leave(k)
                     break
             continue
-        box = _box(name, attributes, articles > 0) and _gap(name, attributes)
+        box = _box(name, attributes, articles > 0, code > 0) and _gap(name, attributes)
         if box:
             flush()
             if not boxes and not articles:

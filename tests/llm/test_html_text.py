@@ -71,6 +71,36 @@ def test_short_text_behind_a_box():
     assert text(body + ad + "<div><a>x</a></div>" * 3 + ad + "<p>Legal.</p>") == LONG.strip()
 
 
+def test_names_that_only_contain_words_of_boxes():
+    parts = [
+        "<h2 id='related-work'>Related work</h2>", "<h2 id='comments'>Comments</h2>", "<p class='social history'>Social history.</p>",
+        "<div class='share price'>Share price.</div>", "<p id='ad-hoc'>Ad hoc.</p>", "<p class='cookie-recipe'>Dough.</p>",
+        "<pre>x <span class='hljs-comment'># note</span> <span class='comment'>y</span></pre>", "<p>a <math><mi>x</mi></math></p>",
+        "<p class='menu-of-the-day'>Soup.</p>", "<div class='notice-of-appeal'>Appeal.</div>",
+    ]
+    want = "Related work Comments Social history. Share price. Ad hoc. Dough. x # note y a x Soup. Appeal."
+    assert text("<article>" + "".join(parts) + "</article>") == want
+    assert text("<p>" + LONG + "</p>" + "".join(parts[2:6])) == LONG + "Social history. Share price. Ad hoc. Dough."
+
+
+def test_names_of_boxes():
+    for name in (
+        "ad", "ads", "top-ad", "ad-300x250", "ad_slot", "google-ads", "cookie-banner", "related-posts", "share-buttons", "social-links",
+        "newsletter-signup", "reader-comments", "comment-body", "site-notice", "sidebar-left", "footer", "promo box", "col-md-4 sidebar",
+        "widget widget_recent sidebar",
+    ):
+        for key in ("class", "id"):
+            assert text(f"<article><p>One.</p><div {key}='{name}'>Box {LONG}</div><p>Two.</p></article>") == "One. Two.", (key, name)
+            assert text(f"<p>{LONG}</p><div {key}='{name}'>Box {LONG}</div><footer>f</footer>") == LONG.strip(), (key, name)
+
+
+def test_raw_elements():
+    assert text("<article><p>a</p><xmp><b>&amp;</b></xmp><p>b</p></article>") == "a <b>&amp;</b> b"
+    assert text("<article><noscript>on</noscript>a<noscript>b<p>c</p></article>") == "ab c"
+    assert text("<article>a<iframe src=x>b<svg><text>t</text></svg>" + "<template>" * 5000 + "c</article>") == "abc"
+    assert text("<article><svg/>a<xmp>open <i>") == "a open <i>"
+
+
 def test_odd_markup():
     assert text("") == "" and text("   ") == "" and text("plain &lt;b&gt;  text") == "plain <b> text"
     assert text("<article><p>cut off in a <b>tag <a href=\"x") == 'cut off in a tag <a href="x'
