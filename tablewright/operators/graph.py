@@ -75,33 +75,25 @@ def pagerank(vertices, edges, damping=0.85, epsilon=1e-6, max_iter=None, cut_eve
     """
     arcs = cut(both_ways(edges))
     out = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("out")).withColumnRenamed("src", "id")
-    n = vertices.agg(F.count(F.lit(1))).scalar()
-    ranks = cut(
-        vertices.select("id").join(out, "id", "left").withColumn("n", n).withColumn("rank", 1 / F.col("n"))
-    )
+    ranks = cut(vertices.select("id").join(out, "id", "left"))
+    n, lonely = ranks.agg(F.count(F.lit(1)), F.count_if(F.col("out").isNull())).first()
+    if not n:
+        return ranks.select("id", F.lit(0.0).alias("rank"))
+    ranks = ranks.withColumn("rank", F.lit(1 / n))
+    lone = 1 / n  # rank of each lone vertex: they receive nothing, so all have the same
     before = ranks
     step = 0
     while max_iter is None or step < max_iter:
         step += 1
+        base = (1 - damping) / n + damping * lone * lonely / n
         share = ranks.where("out IS NOT NULL").select(
             F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share")
         )
         received = arcs.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        lone = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0))).scalar()
-        ranks = (
-            ranks.select("id", "out", "n")
-            .join(received, "id", "left")
-            .withColumn("_lone", lone)
-            .select(
-                "id",
-                "out",
-                "n",
-                (
-                    (1 - damping) / F.col("n")
-                    + damping * (F.coalesce("got", F.lit(0.0)) + F.col("_lone") / F.col("n"))
-                ).alias("rank"),
-            )
+        ranks = ranks.select("id", "out").join(received, "id", "left").select(
+            "id", "out", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
         )
+        lone = base
         if step % cut_every == 0 and step != max_iter:
             ranks = cut(ranks)
             if not fixed:

@@ -192,9 +192,10 @@ def encode_top(df, col, k=10, drop=True):
 
 
 def select_features(df, cols, label, k=10, by_abs=False):
-    """The ``k`` features with the highest Spearman correlation to a label."""
+    """The ``k`` features with the highest Spearman correlation to a label; those equal to twelve digits by name."""
     plain = df.select(*[q(c).cast("double").alias(f"f{i}") for i, c in enumerate(cols)], q(label).cast("double").alias("_label"))
     scored = spearman_with_label(plain, [f"f{i}" for i in range(len(cols))], "_label")
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("feature", 2, 9).cast("int") + 1)
     scored = scored.withColumn("feature", names)
+    scored = scored.withColumn("spearman", F.round("spearman", 12))
     return rank_slice(scored, "spearman", k=k, by_abs=by_abs, ties=["feature"])
