@@ -190,3 +190,9 @@ def test_crosstab_of_a_value_named_as_the_margin(spark):
     df = spark.createDataFrame([("All", "x"), ("All", "y"), ("b", "x"), (None, "x")], "r string, c string")
     got = sorted((r.r, r.x, r.y, r.All) for r in tb.crosstab_wide(df, "r", "c").collect())
     assert got == [("All", 1, 1, 2), ("All", 2, 1, 3), ("b", 1, 0, 1)]
+
+
+def test_all_named_references(spark):
+    df = spark.createDataFrame([("&hearts; &lt;b&gt; &amp;amp; a&nbsp;b &notareference; &NotEqualTilde; &afr;",)], "html string")
+    got = df.select(pg.decoded(F.col("html"))).first()[0]
+    assert got == "♥ <b> &amp; a b &notareference; ≂̸ \U0001d51e"
