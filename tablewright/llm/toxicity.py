@@ -8,7 +8,7 @@ word); it is as toxic as its most toxic unit.  The kernel with a few landmark
 units, whitened by the landmarks' own kernel matrix, is the feature map; a
 squared-hinge SVM is trained on units that mark toxic sentences against units of
 clean ones, and the units that mark each toxic text are chosen anew with each
-model; the strongest ones count with a character inserted, too.  A text's score is the probability fitted to its highest decision value.
+model; those among the landmarks count with a character inserted, too.  A text's score is the probability fitted to its highest decision value.
 
 Training takes at most about ``MAX_DOCS`` labelled texts, chosen by the hash of
 their id; scoring takes every word of every text.
@@ -26,7 +26,6 @@ from tablewright.llm.words import chunks, mix, words
 
 MAX_DOCS = 5_000  # labelled texts to train on
 LANDMARKS = 64  # of toxic units, and as many of others
-NEGATIVES = 20_000  # distinct units of clean texts that train the SVM
 ROUNDS = 4
 DECAY = 0.6
 SPAN = 6  # characters of a subsequence, gaps included
@@ -117,18 +116,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -50, 50)))
 
 
-def _svm(x, y, weight, penalty=1e-3, steps=25):
-    """Weights and bias of a squared-hinge SVM, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+def _svm(x, y, weight, penalty=1e-3, steps=25, block=50_000):
+    """Weights and bias of a squared-hinge SVM, by Newton's method; rows are summed in blocks."""
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-9
     for _ in range(steps):
-        margin = 1 - y * (x @ w)
-        on = margin > 0
-        active, scale = x[on], weight[on]
-        gradient = ridge * w - active.T @ (scale * y[on] * margin[on])
-        step = np.linalg.solve((active.T * scale) @ active + np.diag(ridge), gradient)
+        gradient, curve = ridge * w, np.diag(ridge)
+        for k in range(0, len(x), block):
+            part, own, scale = x[k : k + block], y[k : k + block], weight[k : k + block]
+            margin = 1 - own * (part @ w[:-1] + w[-1])
+            on = margin > 0
+            active = np.hstack([part[on], np.ones((on.sum(), 1))])
+            gradient = gradient - active.T @ (scale[on] * own[on] * margin[on])
+            curve = curve + (active.T * scale[on]) @ active
+        step = np.linalg.solve(curve, gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -173,8 +175,8 @@ def altered(unit):
     return [unit[:k] + unit[k - 1] + unit[k:] for k in places] + [unit[:k] + "x" + unit[k:] for k in places]
 
 
-def fit(bags, labels, landmarks=LANDMARKS, negatives=NEGATIVES, rounds=ROUNDS):
-    """Model of bags of units and their labels (0 or 1), on the driver; the caller bounds the bags."""
+def fit(bags, labels, landmarks=LANDMARKS, rounds=ROUNDS):
+    """Model of bags of units and their labels (0 or 1), on the driver; the caller bounds the bags, all units of them count."""
     bags = bags if isinstance(bags, pa.Array) else pa.array(bags, pa.list_(pa.string()))
     coded = bags.flatten().dictionary_encode()
     order = pc.sort_indices(coded.dictionary)
@@ -199,22 +201,27 @@ def fit(bags, labels, landmarks=LANDMARKS, negatives=NEGATIVES, rounds=ROUNDS):
     seen_clean = np.flatnonzero((clean > 0) & (z < 2) & np.isfinite(z))
     crc = np.array([zlib.crc32(u.encode()) for u in said(seen_clean)])
     seen_clean = seen_clean[np.argsort(crc, kind="stable")]
-    neutral = seen_clean[:negatives]
-    anchors = _spread(said(marks[: 40 * landmarks]), landmarks)
-    anchors += _spread(said(neutral), landmarks, 0.6)
+    anchors = _spread(said(marks), landmarks)
+    strong = anchors[:]
+    anchors += _spread(said(seen_clean), landmarks, 0.6)
     values, vectors = np.linalg.eigh(kernel(anchors, anchors).astype(np.float64))
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-3)))
     row, cell, weight = _features(anchors)
-    witness, hard = marks, np.zeros(0, np.int64)
+    mapped = lambda units: (kernel(units, anchors) @ root).astype(np.float32)
+    usable = np.union1d(marks, seen_clean)
+    features = np.zeros((len(names), len(anchors)), np.float32)
+    for k in range(0, len(usable), 50_000):
+        features[usable[k : k + 50_000]] = mapped(said(usable[k : k + 50_000]))
+    place_of = {u: m for m, u in zip(marks, said(marks))}
+    more = [(v, toxic[place_of[u]] / len(u)) for u in strong for v in altered(u)]
+    changed, share_of = mapped([v for v, _ in more]), [n for _, n in more]
+    leading, witness = np.array([place_of[u] for u in strong]), marks
     for _ in range(rounds):
-        other = np.setdiff1d(np.concatenate([neutral, hard]), witness)
-        use = np.concatenate([witness, other])
-        lead = said(marks[:landmarks])
-        more = [(v, toxic[m] / len(u)) for m, u in zip(marks, lead) for v in altered(u)]
-        x = kernel(said(use) + [v for v, _ in more], anchors) @ root
+        other = np.setdiff1d(seen_clean, witness)
+        x = np.vstack([features[witness], features[other], changed])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(other)), np.ones(len(more))])
         # as heavy as the texts in which they stand
-        heavy = np.concatenate([toxic[witness], np.maximum(clean[other], 1), [n for _, n in more]])
+        heavy = np.concatenate([toxic[witness], np.maximum(clean[other], 1), share_of])
         w, b = _svm(x, y, heavy / heavy.mean())
         cells = np.zeros(_CELLS, np.float32)
         np.add.at(cells, cell, weight * (root @ w)[row])
@@ -224,9 +231,11 @@ def fit(bags, labels, landmarks=LANDMARKS, negatives=NEGATIVES, rounds=ROUNDS):
         np.maximum.at(best, bag_of, value[place])
         picked = np.zeros(len(names), bool)
         picked[place[(value[place] >= best[bag_of] - 1e-9) & (labels[bag_of] == 1) & (value[place] > 0)]] = True
-        witness = np.union1d(marks[: 4 * landmarks], np.flatnonzero(picked & (z > 0) & (clean / c <= toxic / t / 4)))
-        order = seen_clean[np.argsort(-value[seen_clean], kind="stable")]
-        hard = order[: negatives // 4]
+        picked = np.flatnonzero(picked & (z > 0) & (clean / c <= toxic / t / 4))
+        witness = np.union1d(leading, picked)
+        missing = np.setdiff1d(picked, usable)
+        if len(missing):
+            features[missing], usable = mapped(said(missing)), np.union1d(usable, missing)
     best = np.where(np.isfinite(best), best, model.bias)
     model.slope, model.offset = _logistic(best, labels)
     return model
