@@ -4,6 +4,8 @@ A row has two 32-bit words, from the MD5 of ``seed:key``; draw ``i`` mixes them
 with ``i`` by multiplications and shifts (the finaliser of MurmurHash3, twice).
 """
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def words(seed, key):
     return [F.conv(F.substring(text, at, 8), 16, 10).cast("bigint").alias(name) for name, at in (("x1", 1), ("x2", 9))]
 
 
+def words_of(seed, keys):
+    """The same two words of each of ``keys``, as arrays."""
+    md5, start = hashlib.md5, f"{seed}:".encode()
+    made = b"".join([md5(start + b"%d" % k).digest() for k in keys])
+    both = np.frombuffer(made, ">u4").astype(np.uint32).reshape(-1, 4)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _mix(x):
     x ^= x >> np.uint32(16)
     x *= np.uint32(FIRST)

@@ -159,3 +159,14 @@ def test_permuted_is_a_bijection():
         assert sorted(to.tolist()) == list(range(n))
     assert (draws.permuted(np.arange(1000), 1000, 7) != np.arange(1000)).mean() > 0.98
     assert (draws.permuted(np.arange(1000), 1000, 7) != draws.permuted(np.arange(1000), 1000, 8)).mean() > 0.98
+
+
+def test_draws_of_sums_are_made_where_the_rows_are(spark, monkeypatch):
+    monkeypatch.setattr(st, "PART", 700)
+    n = 2500
+    x = np.random.default_rng(4).normal(size=n)
+    df = spark.createDataFrame([(i, float(a)) for i, a in enumerate(x)], "id long, x double")
+    drawn = st.bootstrap_sums(df, {"sx": "x"}, "id", 12)
+    assert "CoGroup" not in drawn._jdf.queryExecution().toString()
+    got = {r.iter: r.sx for r in drawn.collect()}
+    assert got == {b: pytest.approx(x[[mixed(b, 7, j) * n >> 32 for j in range(n)]].sum()) for b in range(1, 13)}
