@@ -116,20 +116,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -50, 50)))
 
 
-def _svm(x, y, weight, penalty=1e-3, steps=25, block=50_000):
-    """Weights and bias of a squared-hinge SVM, by Newton's method; rows are summed in blocks."""
+def _svm(x, rows, y, weight, penalty=1e-3, steps=25, block=50_000):
+    """Weights and bias of a squared-hinge SVM on ``rows`` of ``x``, by Newton's method; they are copied and summed in blocks."""
     w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-9
     for _ in range(steps):
         gradient, curve = ridge * w, np.diag(ridge)
-        for k in range(0, len(x), block):
-            part, own, scale = x[k : k + block], y[k : k + block], weight[k : k + block]
+        for k in range(0, len(rows), block):
+            part, own, scale = x[rows[k : k + block]], y[k : k + block], weight[k : k + block]
             margin = 1 - own * (part @ w[:-1] + w[-1])
             on = margin > 0
             active = np.hstack([part[on], np.ones((on.sum(), 1))])
             gradient = gradient - active.T @ (scale[on] * own[on] * margin[on])
             curve = curve + (active.T * scale[on]) @ active
+            del part, active  # one block at a time
         step = np.linalg.solve(curve, gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -209,24 +210,25 @@ def fit(bags, labels, landmarks=LANDMARKS, rounds=ROUNDS):
     row, cell, weight = _features(anchors)
     mapped = lambda units: (kernel(units, anchors) @ root).astype(np.float32)
     usable = np.union1d(marks, seen_clean)
-    features = np.zeros((len(names), len(anchors)), np.float32)
-    for k in range(0, len(usable), 50_000):
-        features[usable[k : k + 50_000]] = mapped(said(usable[k : k + 50_000]))
     place_of = {u: m for m, u in zip(marks, said(marks))}
     more = [(v, toxic[place_of[u]] / len(u)) for u in strong for v in altered(u)]
-    changed, share_of = mapped([v for v, _ in more]), [n for _, n in more]
+    changed, share_of = len(names) + np.arange(len(more)), [n for _, n in more]
+    features = np.zeros((len(names) + len(more), len(anchors)), np.float32)  # altered units after the others
+    for k in range(0, len(usable), 10_000):
+        features[usable[k : k + 10_000]] = mapped(said(usable[k : k + 10_000]))
+    features[len(names) :] = mapped([v for v, _ in more])
     leading, witness = np.array([place_of[u] for u in strong]), marks
     for _ in range(rounds):
         other = np.setdiff1d(seen_clean, witness)
-        x = np.vstack([features[witness], features[other], changed])
+        rows = np.concatenate([witness, other, changed])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(other)), np.ones(len(more))])
         # as heavy as the texts in which they stand
         heavy = np.concatenate([toxic[witness], np.maximum(clean[other], 1), share_of])
-        w, b = _svm(x, y, heavy / heavy.mean())
+        w, b = _svm(features, rows, y, heavy / heavy.mean())
         cells = np.zeros(_CELLS, np.float32)
         np.add.at(cells, cell, weight * (root @ w)[row])
         model = Model(cells, float(b), 1.0, 0.0)
-        value = np.concatenate([model.decide(names[k : k + 50_000].to_pylist()) for k in range(0, len(names), 50_000)])
+        value = np.concatenate([model.decide(names[k : k + 10_000].to_pylist()) for k in range(0, len(names), 10_000)])
         best = np.full(len(bags), -np.inf)
         np.maximum.at(best, bag_of, value[place])
         picked = np.zeros(len(names), bool)

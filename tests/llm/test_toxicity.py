@@ -98,3 +98,18 @@ def test_empty_tables(spark, tables):
     got = toxicity.score_texts(tables[1], model).collect()
     assert len({r.score for r in got}) == 1 and got[0].predicted == 0
     assert toxicity.score_texts(tables[1].limit(0), model).count() == 0
+
+
+def test_svm_copies_one_block_of_rows_at_a_time():
+    import tracemalloc
+
+    rnd = np.random.default_rng(0)
+    x = rnd.normal(size=(200_000, 32)).astype(np.float32)
+    y = np.where(x[:, 0] > 0, 1.0, -1.0)
+    rows = rnd.permutation(len(x))
+    tracemalloc.start()
+    w, b = toxicity._svm(x, rows, y[rows], np.ones(len(rows)), block=2_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 4
+    assert ((x @ w + b > 0) == (y > 0)).mean() > 0.99
