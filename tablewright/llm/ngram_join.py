@@ -422,5 +422,7 @@ def without_near_copies(docs, width=5, percent=80, id_col="doc_id", text_col="te
     """
     groups = similar_groups(docs, width, percent, id_col, text_col)
     own = F.max(F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = groups.groupBy(F.col(id_col).alias("gone")).agg(own.alias("stays")).where("NOT stays").select("gone")
+    gone = cut(groups.groupBy(F.col(id_col).alias("gone")).agg(own.alias("stays")).where("NOT stays").select("gone"))
+    if gone.count() <= FEW_IDS:
+        gone = F.broadcast(gone)  # counted just now; the texts stay where they are
     return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")

@@ -179,3 +179,14 @@ def test_wide_sketches_bound_the_difference_and_fold():
             assert int(np.bitwise_count(x ^ y).sum()) <= 2 * changed + n // 5
             assert (ngram_join._wide_sketch(base, words) == x).all()
     assert ngram_join._wide_words(1000, 80) == 0
+
+
+def test_texts_are_not_shuffled_to_drop_near_copies(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = documents(spark, ["a b c d e f g h", "a b c d e f g h", "one two three four five six"])
+    kept = ngram_join.without_near_copies(docs, 3, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "doc_id" in line]
