@@ -5,6 +5,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablewright.operators.encode import one_hot, standardize
+from tablewright.plans.lineage import cut
+
+TASK_ROWS = 50_000  # rows that one task clusters
 
 
 def group_sizes(df, group, out="size"):
@@ -33,16 +36,13 @@ def rare_group_score(df, group, threshold=None, out="score"):
 
 def clusters(df, features, k, seed=7, out="cluster", restarts=10, **params):
     """KMeans cluster of an array column; the cheapest of some restarts."""
-    vec = df.withColumn("_vec", array_to_vector(F.col(features).cast("array<double>")))
-    data = vec.select("_vec").persist()
-    try:
-        fits = [
-            KMeans(k=k, seed=seed + i, featuresCol="_vec", predictionCol=out, **params).fit(data)
-            for i in range(restarts)
-        ]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        data.unpersist()
+    vec = cut(df.withColumn("_vec", array_to_vector(F.col(features).cast("array<double>"))))
+    data = vec.select("_vec")  # not persisted: each fit keeps its rows as vectors, which a persisted frame is not
+    fits = [
+        KMeans(k=k, seed=seed + i, featuresCol="_vec", predictionCol=out, **params).fit(data)
+        for i in range(restarts)
+    ]
+    best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(vec).drop("_vec")
 
 
@@ -57,17 +57,26 @@ def anomaly_pipeline(df, features, pos, categorical=(0, 1), numeric=range(12, 48
     return detect(standardize(coded, features, list(numeric)), features, k, threshold, seed, **params)
 
 
+def spread(df, key, task_rows=None):
+    """Rows dealt by ``key`` where its partitions would have more than ``task_rows``; few rows stay as they are."""
+    tasks = -(-df.count() // (task_rows or TASK_ROWS))
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 def detect_coded(df, features, pos, categorical, numeric_from, k, threshold, seed=7, **params):
     """As ``anomaly_pipeline``, standardising all positions that are not one-hot.
 
     ``numeric_from`` is the first numeric position before encoding.  All rows
     must have the same number of positions.
     """
-    coded = one_hot(df, features, list(categorical), pos)
+    df = cut(spread(cut(df), pos))  # or the lambdas below would compute the positions for each level anew
     size = F.size(features)
     before = df.where(F.col(features).isNotNull()).agg(F.min(size), F.max(size)).first()
-    after = coded.where(F.col(features).isNotNull()).agg(F.min(size), F.max(size)).first()
     if before[0] != before[1]:
         raise ValueError(f"rows of {before[0]} to {before[1]} positions")
-    numeric = range(after[0] - (before[0] - numeric_from), after[0]) if before[0] is not None else []
-    return detect(standardize(coded, features, list(numeric)), features, k, threshold, seed, **params)
+    coded = one_hot(df, features, list(categorical), pos)
+    numeric = []
+    if before[0] is not None:
+        width = coded.where(F.col(features).isNotNull()).select(size).first()[0]
+        numeric = range(width - (before[0] - numeric_from), width)
+    return detect(standardize(cut(coded), features, list(numeric)), features, k, threshold, seed, **params)
