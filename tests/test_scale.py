@@ -2,7 +2,7 @@
 
 from pyspark.ml.clustering import KMeans
 
-from tablewright.operators import anomaly as an
+from tablewright.operators import anomaly as an, forest as fo
 
 
 def coded(spark, n):
@@ -21,3 +21,20 @@ def test_rows_of_one_partition_are_dealt_to_many_tasks(spark, monkeypatch):
     an.detect_coded(coded(spark, 300), "f", "id", [0, 1], 2, 2, 0.5)
     assert len(seen) == 10 and min(p for p, _ in seen) >= 3
     assert not any(kept for _, kept in seen)  # a persisted frame would be turned into vectors anew on each pass
+
+
+def test_upper_nodes_are_cut_without_copies_of_rows(spark, monkeypatch):
+    written, cut = [], fo.cut
+
+    def noted(df):
+        done = cut(df)
+        written.append(done.count())
+        return done
+
+    monkeypatch.setattr(fo, "cut", noted)
+    rows = [(i, float(i % 30), float(i * 7 % 13), float(i % 30 + i * 7 % 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    found = fo.forests(df, "id", {"both": ["a", "b"], "one": ["a"]}, "y", trees=4, node_rows=100)
+    assert max(written) == 400  # not rows x trees x variants
+    assert found.where("feature IS NULL").count() == 400 * 4 * 2
+    assert fo.scores(found, df, "id", "y", ["both"]).first().r2 > 0.97
