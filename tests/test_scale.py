@@ -2,7 +2,8 @@
 
 from pyspark.ml.clustering import KMeans
 
-from tablewright.operators import anomaly as an, forest as fo
+from tablewright.operators import anomaly as an, forest as fo, graph as gr
+from workload import numbers
 
 
 def coded(spark, n):
@@ -38,3 +39,13 @@ def test_upper_nodes_are_cut_without_copies_of_rows(spark, monkeypatch):
     assert max(written) == 400  # not rows x trees x variants
     assert found.where("feature IS NULL").count() == 400 * 4 * 2
     assert fo.scores(found, df, "id", "y", ["both"]).first().r2 > 0.97
+
+
+def test_a_graph_is_ranked_once_and_its_rest_once(spark, monkeypatch):
+    edges = [("hub", f"r{i}") for i in range(8)] + [(f"r{i}", f"r{(i + 1) % 8}") for i in range(8)]
+    e = gr.graph_from_edges(spark.createDataFrame(edges, "src string, dst string"))
+    monkeypatch.setattr(numbers, "traded", lambda t: (gr.vertices_of(e), e))
+    calls, rank = [], gr.pagerank
+    monkeypatch.setattr(gr, "pagerank", lambda *a, **b: calls.append(1) or rank(*a, max_iter=4))
+    got = {r.id: r.rank for r in numbers.influencers(None).collect()}
+    assert got.keys() == {f"r{i}" for i in range(8)} and len(calls) == 2
