@@ -155,7 +155,6 @@ def _star(arcs, large):
 
 def largest_component(vertices, edges):
     """Vertices and edges of the component with the most vertices."""
-    edges = cut(edges)  # read for the components and again at the end
     labels = cut(components(vertices, edges))
     best = (
         labels.groupBy("component")
