@@ -5,7 +5,11 @@ each round is written with ``cut``, so lineage stays short and a lost executor
 costs one round at most.
 """
 
-from pyspark.sql import functions as F
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window as W, functions as F
 
 from tablewright.functions.sampling import hash_uniform
 from tablewright.plans.lineage import cut
@@ -67,42 +71,107 @@ def subgraph(vertices, edges, condition):
     return kept, inner.select("src", "dst")
 
 
-def pagerank(vertices, edges, damping=0.85, epsilon=1e-6, max_iter=None, cut_every=4, fixed=False):
+def pagerank(
+    vertices, edges, damping=0.85, epsilon=1e-6, max_iter=None, cut_every=4, fixed=False, task_arcs=4_000_000,
+    task_ids=1_000_000,
+):
     """``(id, rank)``, summing to 1; the mass of lone vertices is shared out.
 
-    Goes on until the ranks move by less than ``epsilon`` in total, checked at
-    every cut; with ``max_iter`` at most so many rounds, with ``fixed`` exactly.
+    Goes on until the ranks move by less than ``epsilon`` in total, looked at
+    every ``cut_every`` rounds; with ``max_iter`` at most so many rounds, with
+    ``fixed`` exactly.
+
+    Linked vertices are dealt to groups, and numbered in them.  The arcs from one
+    group to another, some ``task_arcs``, are one block, moved once and kept where
+    they are; a vertex has no more arcs in a block than a group has vertices, so
+    hubs are spread.  In a round a group's shares go to the blocks that start
+    there and a block's sums go back to the group where it ends.
     """
-    arcs = cut(both_ways(edges))
-    out = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("out")).withColumnRenamed("src", "id")
-    ranks = cut(vertices.select("id").join(out, "id", "left"))
-    n, lonely = ranks.agg(F.count(F.lit(1)), F.count_if(F.col("out").isNull())).first()
+    edges = cut(edges.select("src", "dst"))
+    out = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("out"))
+    people = cut(vertices.groupBy("id").agg(F.count(F.lit(1)).alias("m")).join(out, "id", "left"))
+    is_lone, m = F.col("out").isNull(), F.col("m")
+    n, lonely, lone_pairs, linked, ends = people.agg(
+        F.sum(m), F.sum(F.when(is_lone, m)), F.sum(F.when(is_lone & F.col("id").isNotNull(), m * m)), F.count("out"), F.sum("out")
+    ).first()
     if not n:
-        return ranks.select("id", F.lit(0.0).alias("rank"))
-    ranks = ranks.withColumn("rank", F.lit(1 / n))
+        return vertices.select("id", F.lit(0.0).alias("rank"))
+    lonely, lone_pairs = lonely or 0, lone_pairs or 0
     lone = 1 / n  # rank of each lone vertex: they receive nothing, so all have the same
-    before = ranks
-    step = 0
-    while max_iter is None or step < max_iter:
-        step += 1
-        base = (1 - damping) / n + damping * lone * lonely / n
-        share = ranks.where("out IS NOT NULL").select(
-            F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share")
-        )
-        received = arcs.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        ranks = ranks.select("id", "out").join(received, "id", "left").select(
-            "id", "out", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
-        )
-        lone = base
-        if step % cut_every == 0 and step != max_iter:
-            ranks = cut(ranks)
-            if not fixed:
-                old = before.select("id", F.col("rank").alias("old"))
-                moved = ranks.join(old, "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if (moved or 0.0) < epsilon:
-                    break
-                before = ranks
-    return ranks.select("id", "rank")
+    if not linked:
+        return vertices.select("id", F.lit(lone).alias("rank"))
+    groups = max(2, math.ceil(math.sqrt(ends / task_arcs)), math.ceil(linked / task_ids))
+    place = F.row_number().over(W.partitionBy("g").orderBy("id")) - 1
+    verts = people.where(~is_lone).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    verts = cut(verts.select("id", "m", "out", "g", place.alias("l")))
+    blocks = _arc_blocks(verts, edges, groups, task_arcs).persist()
+    try:
+        state = before = cut(verts.select("g", "l", (m / F.col("out")).alias("w"), (m * m).alias("pairs"), F.lit(lone).alias("rank")))
+        step, lone_before = 0, lone
+        while max_iter is None or step < max_iter:
+            step += 1
+            base = (1 - damping) / n + damping * lone * lonely / n
+            state = _received(state, blocks, groups).withColumn("rank", F.lit(base) + damping * F.col("got")).drop("got")
+            lone = base
+            if step % cut_every == 0 and step != max_iter:
+                state = cut(state)
+                if not fixed:
+                    old = before.select("g", "l", F.col("rank").alias("old"))
+                    # an id in several rows counts once for each pair of them
+                    moved = state.join(old, ["g", "l"]).agg(F.sum(F.abs(F.col("rank") - F.col("old")) * F.col("pairs"))).first()[0]
+                    if moved + lone_pairs * abs(lone - lone_before) < epsilon:
+                        break
+                    before, lone_before = state, lone
+        state = cut(state)
+    finally:
+        blocks.unpersist()
+    ranks = verts.join(state, ["g", "l"]).select("id", "rank")
+    return vertices.select("id").join(ranks, "id", "left").select("id", F.coalesce("rank", F.lit(lone)).alias("rank"))
+
+
+def _arc_blocks(verts, edges, groups, task_arcs):
+    """Arcs both ways as ``(block, code)`` rows: arrays of numbers ``source << 32 | end`` inside the two groups."""
+    at = lambda end: verts.select(F.col("id").alias(end), F.struct("g", "l").alias("_" + end))
+    ends = edges.join(at("src"), "src").join(at("dst"), "dst").select("_src", "_dst")
+    arc = lambda a, b: F.struct(
+        (F.col(a)["g"] * groups + F.col(b)["g"]).alias("block"),
+        F.shiftleft(F.col(a)["l"].cast("long"), 32).bitwiseOR(F.col(b)["l"].cast("long")).alias("code"),
+    )
+    arcs = ends.select(F.inline(F.array(arc("_src", "_dst"), arc("_dst", "_src"))))
+    piece = F.pmod(F.xxhash64("code"), F.lit(max(1, task_arcs // 100_000)))
+    packed = arcs.repartition(4 * groups * groups, "block").groupBy("block", piece.alias("piece")).agg(F.collect_list("code").alias("code"))
+    return packed.select("block", "code").sortWithinPartitions("block")
+
+
+def _received(state, blocks, groups):
+    """``state`` with ``got`` instead of ``rank``: what each vertex gets from its neighbours in a round.
+
+    Shares go to all blocks of their group; in the block from the group to itself
+    a vertex's own row goes along, so that the state is read once in a round.
+    """
+    own = F.col("to") == F.col("g")
+    sent = state.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+        (F.col("g") * groups + F.col("to")).cast("int").alias("block"), "l", (F.col("rank") * F.col("w")).alias("share"),
+        F.when(own, F.col("w")).alias("w"), F.when(own, F.col("pairs")).alias("pairs"),
+    )
+
+    def add(key, arcs, shares):
+        start, end = divmod(key[0].as_py(), groups)
+        at = shares.column("l").to_numpy()
+        share = np.zeros(int(at.max()) + 1 if len(at) else 0)
+        share[at] = shares.column("share").to_numpy()
+        code = np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in arcs.column("code").chunks]])
+        total = np.bincount(code & 0xFFFFFFFF, share[code >> 32]).astype(float)  # of no arcs they are integers
+        if start == end:
+            out, w, pairs = at, shares.column("w"), shares.column("pairs")
+            total = np.pad(total, (0, max(0, len(share) - len(total))))
+        else:
+            out = np.flatnonzero(total).astype(np.int32)
+            w, pairs = pa.nulls(len(out), pa.float64()), pa.nulls(len(out), pa.int64())
+        return pa.table({"g": pa.array(np.full(len(out), end, np.int32)), "l": pa.array(out), "w": w, "pairs": pairs, "got": pa.array(total[out])})
+
+    parts = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(add, "g int, l int, w double, pairs long, got double")
+    return parts.groupBy("g", "l").agg(F.max("w").alias("w"), F.max("pairs").alias("pairs"), F.sum("got").alias("got"))
 
 
 def components(vertices, edges):

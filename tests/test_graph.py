@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,26 @@ def test_a_long_path_is_followed_to_its_end(spark):
     part = gr.shortest_paths(v, e, max_depth=3)
     assert gr.diameter(part).first()[0] == 3 and {r.complete for r in part.select("complete").distinct().collect()} == {False}
     assert gr.shortest_paths(v, e, max_depth=9).select("complete").first()[0]
+
+
+def test_pagerank_in_blocks_moves_arcs_once(spark, monkeypatch):
+    """Many blocks, a hub, an id in two rows, one without arcs, a NULL id: as by direct rounds; no round shuffles arcs."""
+    rnd = np.random.default_rng(3)
+    pairs = sorted({(0, i) for i in range(1, 40)} | {tuple(sorted(p)) for p in rnd.integers(0, 40, (60, 2)).tolist() if p[0] != p[1]})
+    ids = [*range(40), 5, 40, 40, None]
+    v, e = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(pairs, "src long, dst long")
+    plans, write = [], gr.cut
+    monkeypatch.setattr(gr, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    got = gr.pagerank(v, e, max_iter=8, fixed=True, task_arcs=20, cut_every=4).collect()
+    link = np.zeros((42, 42))
+    for a, b in pairs:
+        link[a, b] = link[b, a] = 1
+    out, m = link.sum(0), np.array([ids.count(i) for i in [*range(41), None]])
+    rank = np.full(42, 1 / 44)
+    for _ in range(8):
+        lone = (rank * m)[out == 0].sum()
+        rank = 0.15 / 44 + 0.85 * (link @ np.divide(rank * m, out, out=np.zeros(42), where=out > 0) + lone / 44)
+    want = {i: rank[41 if i is None else i] for i in ids}
+    assert len(got) == 44 and all(r.rank == pytest.approx(want[r.id], rel=1e-9) for r in got)
+    rounds = [p for p in plans if "got" in p]
+    assert rounds and all("InMemoryRelation" in p for p in rounds)
