@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import graph as gr
+from tablewright.plans import lineage
 
 # A small friendship graph, one entry listed twice.
 FRIENDS = [
@@ -138,3 +139,18 @@ def test_pagerank_in_blocks_moves_arcs_once(spark, monkeypatch):
     assert len(got) == 44 and all(r.rank == pytest.approx(want[r.id], rel=1e-9) for r in got)
     rounds = [p for p in plans if "got" in p]
     assert rounds and all("InMemoryRelation" in p for p in rounds)
+
+
+def test_rounds_leave_no_steps(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lineage, "steps_folder", lambda _: str(tmp_path))
+    ring = spark.createDataFrame([(i, (i * 7 + 1) % 40) for i in range(40)], "src long, dst long")
+    edges = gr.graph_from_edges(ring)
+    ranks = gr.pagerank(gr.vertices_of(edges), edges, epsilon=1e-9)
+    assert len(list(tmp_path.glob("step-*"))) == 2  # one for every four rounds, before
+    assert ranks.agg(F.sum("rank")).first()[0] == pytest.approx(1)
+    gr.components(gr.vertices_of(edges), edges).count()
+    assert len(list(tmp_path.glob("step-*"))) == 3
+
+
+def test_shuffled_files_go_with_the_run_that_made_them(spark):
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
