@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.stats import spearman_with_label
 from tablewright.operators.table import rank_slice
+from tablewright.plans.lineage import cut
 from tablewright.plans.ordering import exact_quantiles
 
 NUMERIC = ("SUM", "MEAN", "MIN", "MAX", "STD", "SKEW")
@@ -193,7 +194,8 @@ def encode_top(df, col, k=10, drop=True):
 
 def select_features(df, cols, label, k=10, by_abs=False):
     """The ``k`` features with the highest Spearman correlation to a label; those equal to twelve digits by name."""
-    plain = df.select(*[q(c).cast("double").alias(f"f{i}") for i, c in enumerate(cols)], q(label).cast("double").alias("_label"))
+    # written first: what made the features is not kept on disk, nor made again, while they are ranked
+    plain = cut(df.select(*[q(c).cast("double").alias(f"f{i}") for i, c in enumerate(cols)], q(label).cast("double").alias("_label")))
     scored = spearman_with_label(plain, [f"f{i}" for i in range(len(cols))], "_label")
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("feature", 2, 9).cast("int") + 1)
     scored = scored.withColumn("feature", names)

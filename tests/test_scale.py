@@ -2,7 +2,7 @@
 
 from pyspark.ml.clustering import KMeans
 
-from tablewright.operators import anomaly as an, forest as fo, graph as gr
+from tablewright.operators import anomaly as an, forest as fo, graph as gr, synth as sy
 from workload import numbers
 
 
@@ -49,3 +49,11 @@ def test_a_graph_is_ranked_once_and_its_rest_once(spark, monkeypatch):
     monkeypatch.setattr(gr, "pagerank", lambda *a, **b: calls.append(1) or rank(*a, max_iter=4))
     got = {r.id: r.rank for r in numbers.influencers(None).collect()}
     assert got.keys() == {f"r{i}" for i in range(8)} and len(calls) == 2
+
+
+def test_features_are_made_once_before_they_are_ranked(spark, monkeypatch):
+    kept, cut = [], sy.cut
+    monkeypatch.setattr(sy, "cut", lambda df: kept.append(df.columns) or cut(df))
+    df = spark.createDataFrame([(i, float(i), float(-i), float(i % 3), float(i)) for i in range(30)], "id long, a double, b double, c double, y double")
+    best = sy.select_features(df, ["a", "b", "c"], "y", k=1).first()
+    assert (best.feature, best.spearman) == ("a", 1.0) and kept == [["f0", "f1", "f2", "_label"]]
