@@ -167,13 +167,18 @@ def tree_attribution(t):
     side = (F.col("customer") <= 700).cast("int")
     under = F.when(side == 1, F.col("month") <= 6).otherwise(F.col("day") <= 15).cast("int")
     leaf = {(r[0], r[1]): (r[2], r[3]) for r in df.groupBy(side, under).agg(F.avg("y"), F.count(F.lit(1))).collect()}  # four rows
-    mean, size = [[leaf[k][i] for k in ((1, 1), (1, 0), (0, 1), (0, 0))] for i in (0, 1)]
+    names, ends = ["customer", "month", "day"], ((1, 1), (1, 0), (0, 1), (0, 0))
+    if any(k not in leaf for k in ends):  # the mean of no rows: as in SQL, no value is known
+        none = F.lit(None).cast("double")
+        return ml.assemble(df, names).select(
+            F.col("o_orderkey").alias("row"), F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"), none.alias("value"), none.alias("base")
+        )
+    mean, size = [[leaf[k][i] for k in ends] for i in (0, 1)]
     cover = [sum(size), size[0] + size[1], size[2] + size[3], *size]
     tree = (
         1.0, np.array([0, 1, 2, -1, -1, -1, -1]), np.array([700.0, 6.0, 15.0, 0, 0, 0, 0]), np.array([1, 3, 5, -1, -1, -1, -1]),
         np.array([2, 4, 6, -1, -1, -1, -1]), np.array([0.0, 0, 0, *mean]), np.array(cover, float),
     )
-    names = ["customer", "month", "day"]
     return rounded(ex.tree_shapley([tree], ml.assemble(df, names), "o_orderkey", names), "value", "base", digits=2)
 
 
